@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import chat_format, license_scan, mixing, near_dedup, packing, quality_classifier, quality_rules, secret_scan, substring_dedup, top_k
+from tracewright.llm import chat_format, license_scan, mixing, near_dedup, packing, quality_classifier, quality_rules, secret_scan, sql, substring_dedup, top_k
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -68,44 +68,6 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
-OP1_SQL = r"""
-WITH w AS (
-  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
-), win AS (
-  SELECT doc_id, i, array_to_string(words[i:i + 12], ' ') AS win
-  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS i FROM w)
-), least AS (
-  SELECT win, min(doc_id) AS first_doc FROM win GROUP BY win
-), gone AS (
-  SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i
-  FROM win JOIN least USING (win) WHERE first_doc < doc_id
-), kept AS (
-  SELECT doc_id, count(g.i) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY e.i) FILTER (g.i IS NULL), '') AS kept
-  FROM (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM w) e LEFT JOIN gone g USING (doc_id, i)
-  GROUP BY doc_id
-)
-SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
-FROM w LEFT JOIN kept USING (doc_id)
-"""
-
-OP10_SQL = r"""
-WITH RECURSIVE w AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
-), s AS (
-  SELECT DISTINCT doc_id, array_to_string(words[i:i + 2], ' ') AS g
-  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 1, 2))) AS i FROM w WHERE len(words) > 0)
-), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
-), link AS (
-  SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b USING (g) WHERE a.doc_id < b.doc_id GROUP BY 1, 2
-  HAVING 100 * count(*) >= 85 * ((SELECT n FROM n WHERE doc_id = a.doc_id) + (SELECT n FROM n WHERE doc_id = b.doc_id) - count(*))
-), both_ways AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link
-), reach AS (SELECT a AS x, a AS y FROM both_ways UNION SELECT x, b FROM reach JOIN both_ways ON y = a
-), root AS (SELECT x AS doc_id, min(y) AS root FROM reach GROUP BY x)
-SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(root, doc_id) AS component_id, coalesce(root, doc_id) = doc_id AS kept
-FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN root USING (doc_id)
-"""
-
-
 def queries() -> dict[str, Query]:
     found = (
         op1_substring_dedup, op2_mixing, op3_secret_scan, op4_packing, op5_top_k,
@@ -115,4 +77,11 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1_SQL, "op10_near_dedup": OP10_SQL}
+    return {
+        "op1_substring_dedup": sql.OP1_SQL,
+        "op2_mixing": sql.OP2_SQL,
+        "op5_top_k": sql.OP5_SQL,
+        "op7_quality_rules": sql.OP7_SQL,
+        "op8_chat_format": sql.OP8_SQL,
+        "op10_near_dedup": sql.OP10_SQL,
+    }
