@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 K = 10
 DATA_BLOCK = 8192
 QUERY_BLOCK = 2048
-_LEAF = 64
+_LEAF = 256
 
 
 class CoverTree:
@@ -91,13 +91,24 @@ class _Search:
 
     def _leaves(self, qs: np.ndarray, ds: np.ndarray) -> None:
         score = self.q.x[qs] @ self.d.x[ds].T
-        ids = np.broadcast_to(self.ids[ds], score.shape).copy()
-        score = np.where(ids == self.query_ids[qs][:, None], -np.inf, score)
-        ids[np.isneginf(score)] = np.iinfo(np.int64).max
-        score, ids = np.hstack([self.scores[qs], score]), np.hstack([self.found[qs], ids])
-        order = np.lexsort((ids, -score), axis=1)[:, : self.k]
-        self.scores[qs] = np.take_along_axis(score, order, 1)
-        self.found[qs] = np.take_along_axis(ids, order, 1)
+        score[self.query_ids[qs][:, None] == self.ids[ds][None, :]] = -np.inf
+        better = score.max(1) >= self.worst[qs]
+        qs, score = qs[better], score[better]
+        if not len(qs):
+            return
+        # Of each row's new scores only those can enter that reach its own kth one.
+        if score.shape[1] > self.k:
+            kth = -np.partition(-score, self.k - 1, axis=1)[:, self.k - 1]
+        else:
+            kth = np.full(len(qs), -np.inf)
+        row, column = np.nonzero((score >= np.maximum(kth, self.worst[qs])[:, None]) & ~np.isneginf(score))
+        old = np.repeat(np.arange(len(qs)), self.k)
+        row, value, ids = np.concatenate([old, row]), np.concatenate([self.scores[qs].ravel(), score[row, column]]), np.concatenate([self.found[qs].ravel(), self.ids[ds][column]])
+        order = np.lexsort((ids, -value, row))
+        row = row[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        top = order[place < self.k]
+        self.scores[qs], self.found[qs] = value[top].reshape(len(qs), self.k), ids[top].reshape(len(qs), self.k)
         self.worst[qs] = self.scores[qs, -1]
 
 
