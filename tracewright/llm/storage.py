@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,6 +30,16 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+@contextlib.contextmanager
+def _dropping_shuffles(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read again: it cuts the lineage and outlives lost executors.
 
@@ -35,20 +47,30 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tracewright/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
-    try:
+    with _dropping_shuffles(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
     _WRITTEN.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """df as a table in the warehouse, bucketed by key like the shuffles of the session: joins on the key don't move it again."""
+    spark = df.sparkSession
+    table = f"tracewright_{name}_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    with _dropping_shuffles(spark):
+        df.write.bucketBy(n, key).format("parquet").saveAsTable(table)
+    _WRITTEN.append((spark, f"table:{table}"))
+    return spark.table(table)
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _WRITTEN:
         try:
-            delete(spark, path)
+            if path.startswith("table:"):
+                spark.sql(f"DROP TABLE IF EXISTS {path[6:]}")
+            else:
+                delete(spark, path)
         except Exception:  # the session has ended already; the folder's owner clears it
             return
