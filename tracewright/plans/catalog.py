@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from tracewright.functions.scores import LogisticModel, confidence, gate, platt, reservation_usd
 
 from tracewright.operators import claims as claim_ops
-from tracewright.operators import costs, detectors, judge, metrics, report, rules, training
+from tracewright.operators import costs, dataset, detectors, hypotheses, judge, metrics, report, rules, training
 from tracewright.operators import steps as step_ops
 from tracewright.plans import projection as at
 from tracewright.plans.sql import auroc_sql, over
+from tracewright.sources import generator
 from tracewright.sources import traces as trace_source
 from tracewright.sources.packs import RulePack
 
@@ -631,3 +632,70 @@ def trn_5_folds(spark, d):
     return training.with_folds(rows).groupBy("label", F.col("fold").cast("long").alias("fold")).agg(F.count("*").alias("n"))
 
 
+# Hypotheses, dataset checks and generated traces
+
+
+@query(over("predictions", """
+, s AS (SELECT detector, count(*) FILTER (label = 0 AND verdict = 'verified') AS missed, count(*) FILTER (verdict <> 'unverifiable') / count(*) AS coverage FROM predictions GROUP BY 1)
+SELECT max(missed) FILTER (detector = 'a') = min(missed) AND max(coverage) FILTER (detector = 'a') = min(coverage) AS supported FROM s""").replace("\n\n, s AS", ", s AS"))
+def o_agg_11_cautious(spark, d):
+    return hypotheses.cautious(at.predictions(spark, d), "a")
+
+
+@query(over("predictions", """
+, r AS (SELECT detector, kind, avg(CASE WHEN p <= 0.2::DOUBLE THEN 1.0 ELSE 0.0 END) AS recall FROM predictions WHERE label = 0 GROUP BY ALL)
+SELECT detector, round(avg(recall) FILTER (kind = 'wrong_value'), 6) AS recall, round(avg(recall) FILTER (kind <> 'wrong_value'), 6) AS other_recall, coalesce(avg(recall) FILTER (kind = 'wrong_value') < avg(recall) FILTER (kind <> 'wrong_value'), false) AS fooled FROM r GROUP BY 1""").replace("\n\n, r AS", ", r AS"))
+def o_agg_11_fooled(spark, d):
+    return hypotheses.fooled(at.predictions(spark, d), "wrong_value").select("detector", _r(F.col("recall"), "recall"), _r(F.col("other_recall"), "other_recall"), "fooled")
+
+
+@query(over("predictions", "SELECT split, domain, count(*) AS n, round(avg(label), 6) AS success_share FROM predictions GROUP BY ALL"))
+def val_7_shares(spark, d):
+    return dataset.shares(at.predictions(spark, d)).select("split", "domain", "n", _r(F.col("success_share"), "success_share"))
+
+
+@query(over("predictions", "SELECT domain, 100::BIGINT AS wanted, count(*) AS found FROM predictions GROUP BY domain HAVING count(*) <> 100 UNION ALL SELECT 'it', 7, 0"))
+def val_7_cell_differences(spark, d):
+    design = at.predictions(spark, d).select("domain").distinct().select("domain", F.lit(100).cast("long").alias("n")).unionByName(spark.createDataFrame([("it", 7)], "domain string, n long"))
+    return dataset.cell_differences(at.predictions(spark, d), design, ["domain"])
+
+
+@query("""
+SELECT b.text AS entity, d.doc_id::VARCHAR AS trace_id FROM (SELECT DISTINCT text FROM benchmark WHERE item_id % 2 = 0 AND text NOT IN (SELECT text FROM benchmark WHERE item_id % 2 = 1)) b
+JOIN documents d ON d.doc_id % 2 = 1 AND contains(d.text, b.text)""")
+def val_7_split_leaks(spark, d):
+    b = at.table(spark, d, "benchmark").select(F.col("text").alias("entity"), F.when(F.col("item_id") % 2 == 0, "train").otherwise("test").alias("split"))
+    blobs = at.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("trace_id"), F.when(F.col("doc_id") % 2 == 0, "train").otherwise("test").alias("split"), F.col("text").alias("blob"))
+    own = b.where("split = 'train'").join(b.where("split = 'test'").select("entity"), "entity", "left_anti")
+    return dataset.split_leaks(own, blobs)
+
+
+@query(over("steps traces", f"""
+, n AS (SELECT 1 AS g, CASE WHEN any_value(gt_outcome) = 'success' THEN 1 ELSE 0 END AS label, count(*)::DOUBLE AS score FROM steps JOIN traces USING (trace_id) WHERE gt_outcome <> 'unknown' GROUP BY trace_id)
+SELECT n_pos, n_neg, round(auroc, 6) AS auroc FROM ({auroc_sql("n", "g", "score")})""").replace("\n\n, n AS", ", n AS"))
+def val_7_step_count_auroc(spark, d):
+    labels = at.traces(spark, d).where("gt_outcome != 'unknown'").select("trace_id", (F.col("gt_outcome") == "success").cast("int").alias("label"))
+    return dataset.step_count_auroc(at.steps(spark, d), labels).select("n_pos", "n_neg", _r(F.col("auroc"), "auroc"))
+
+
+@query()
+def gen_2_plan(spark, d):
+    return generator.generate(spark, 3000).groupBy("domain", "split", "kind", "evidence", "label").agg(F.count("*").alias("n"))
+
+
+@query()
+def gen_5_outcomes(spark, d):
+    """The rules on generated traces, by kind."""
+    from tracewright.sources.packs import builtin_packs
+
+    made = generator.generate(spark, 600)
+    traces, steps, claims = generator.as_tables(made)
+    out = rules.worst_outcomes(rules.evaluate_claims(claims, steps, traces, builtin_packs()))
+    return out.join(made.select("trace_id", "kind", "evidence"), "trace_id").groupBy("kind", "evidence", "outcome").agg(F.count("*").alias("n"))
+
+
+@query()
+def trn_4_leave_domain_out(spark, d):
+    traces = at.traces(spark, d).where("gt_outcome != 'unknown'")
+    rows = _features(spark, d).join(traces.select("trace_id", (F.col("gt_outcome") == "success").cast("int").alias("label")), "trace_id")
+    return hypotheses.leave_domain_out(rows, step_ops.FEATURES, 0.1, ["booking", "crm", "coding"])
