@@ -108,6 +108,46 @@ def test_least_overlap_is_a_bound():
         assert 0 < c < k and (hits < c).mean() < 1e-5
 
 
+@pytest.mark.parametrize(("n", "percent"), [(3, 85), (5, 80)])
+def test_near_dedup_of_short_texts(spark, n, percent):
+    """A text of each size and its copy with the fewest words changed or added, on both sides of the threshold."""
+    found = []
+    for size in [*range(1, 46), 60]:
+        words = [f"s{size}w{i}" for i in range(size + n - 1)]
+        found += [" ".join(words)] + [" ".join(words + [f"s{size}e{extra}x{i}" for i in range(extra)]) for extra in (1, 2, 4, 6, 8, 10)]
+        found += [" ".join([f"s{size}f", *words[1:]]), " ".join([f"s{size}g{k}" for k in range(3)] + words)]
+    df = spark.createDataFrame(list(enumerate(found)), "doc_id long, text string").repartition(4)
+    want = components([shingles(t, n) for t in found], percent)
+    assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df, n, percent).collect()} == dict(enumerate(want))
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_the_estimate_keeps_every_small_linked_pair(percent):
+    rng, k = np.random.default_rng(5), 32
+    least = near_dedup.least_overlap(percent, k)
+    for a in range(1, 41):
+        for b in range(a, 41):
+            for both in range(a + 1):
+                values = np.unique(rng.integers(1, 2**63, a + b - both).astype(np.uint64))
+                rng.shuffle(values)
+                x, y = np.sort(values[:a]), np.sort(values[a - both :])
+                assert near_dedup.similar(x, y, percent, k, least) == (100 * both >= percent * (a + b - both)), (a, b, both)
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_sets_within_the_sketch_meet_larger_ones(spark, percent):
+    """The partner's sketch leaves out as many of the shared values as it can."""
+    k = 32
+    for n in range(1, k + 1):
+        fewest = min(both - max(0, m - k) for m in range(1, 2 * k) for both in range(1, min(n, m) + 1) if 100 * both >= percent * (n + m - both))
+        assert near_dedup.sure_overlap(n, percent, k) == fewest
+    m = 100 * k // percent
+    sets = [list(range(100, 100 + k)), [*range(m - k), *range(100, 100 + k)]]
+    reps = spark.createDataFrame([(d, len(x), x[:k]) for d, x in enumerate(sets)], "doc long, n long, sketch array<long>")
+    lists = near_dedup._lists(reps, percent, k).collect()
+    assert {r.value for r in lists if r.doc == 0} & {r.value for r in lists if r.doc == 1}
+
+
 ASSIGN = re.compile(r"""((?:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
 

@@ -67,6 +67,14 @@ def least_overlap(percent: int, k: int) -> int:
     return k
 
 
+def sure_overlap(n: int, percent: int, k: int) -> int:
+    """The fewest values that the sketches of a set of n <= k shingles and of any set linked with it share.
+
+    A partner of m shingles has ceil(percent (n + m) / (100 + percent)) of them in common at least; its sketch may leave out m - k.
+    """
+    return min(-(-percent * (n + m) // (100 + percent)) - max(0, m - k) for m in range(-(-percent * n // 100), 100 * n // percent + 1))
+
+
 def _sketches(shingle: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -96,7 +104,9 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int, k: int, least: int) -> b
     """The union sketch's estimate, then the exact share of two ascending sets."""
     small_x, small_y = x[:k], y[:k]
     union = np.union1d(small_x, small_y)[:k]
-    if np.isin(union, small_x).__and__(np.isin(union, small_y)).sum() < min(least, len(union)):
+    # A union of under k shingles is seen whole.
+    enough = least if len(union) == k else -(-percent * len(union) // 100)
+    if np.isin(union, small_x).__and__(np.isin(union, small_y)).sum() < enough:
         return False
     both = len(np.intersect1d(x, y, assume_unique=True))
     return 100 * both >= percent * (len(x) + len(y) - both)
@@ -119,7 +129,8 @@ def _lists(reps: DataFrame, percent: int, k: int) -> DataFrame:
     values = reps.select("doc", "n", F.explode("sketch").alias("value"))
     counts = values.groupBy("value").agg(F.count("*").alias("c")).where("c > 1")
     size = F.least("n", F.lit(k))
-    enough = F.when(F.col("n") <= k, F.expr(f"cast(ceil(n * {percent} / 100) as long)")).otherwise(F.lit(least_overlap(percent, k)))
+    sure = F.array(*(F.lit(sure_overlap(n, percent, k)) for n in range(1, k + 1)))
+    enough = F.when(F.col("n") <= k, F.get(sure, F.col("n").cast("int") - 1)).otherwise(F.lit(least_overlap(percent, k)))
     first = (size - enough + 1) - (size - F.size("shared"))
     shared = values.join(counts, "value").groupBy("doc", "n").agg(F.array_sort(F.collect_list(F.struct("c", "value"))).alias("shared"))
     return shared.withColumn("first", first.cast("int")).where("first > 0").select("doc", "n", F.explode(F.slice("shared", F.lit(1), F.col("first"))).alias("x")).select(F.col("x.value").alias("value"), "doc", "n")
