@@ -268,6 +268,21 @@ def test_license_scan(spark):
     assert got[2] == [] and [x[0] for x in got[3]] == ["Apache-2.0", "CC-BY-NC-4.0"]
 
 
+def test_a_license_line_that_is_repeated(spark):
+    """Every copy is a span of its own, in a row and beside other notices and text."""
+    notices = [(name, t) for name, ts in license_scan.TEMPLATES.items() for t in ts if len(t) < 100]
+    found, want = [], []
+    for name, t in notices:
+        for n in (1, 2, 3, 10, 25):
+            for before, between in (("", " "), ("some words ahead of it. ", "\n"), ("", " or so. ")):
+                found.append(before + between.join([t] * n) + " The end.")
+                want.append([(name, t.rstrip("."))] * n)
+    found.append(" ".join(t for _, t in notices * 3))
+    want.append([(name, t.rstrip(".")) for name, t in notices * 3])
+    rows = license_scan.scan_licenses(spark.createDataFrame(list(enumerate(found)), "doc_id long, text string")).collect()
+    assert {r.doc_id: [(s.license, found[r.doc_id][s.start : s.end]) for s in r.spans] for r in rows} == dict(enumerate(want))
+
+
 def test_winnowing_keeps_one_in_each_window():
     h = np.random.default_rng(0).integers(0, 50, 200).astype(np.uint64)
     kept = set(license_scan.winnow(h, 4).tolist())

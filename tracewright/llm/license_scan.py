@@ -123,9 +123,16 @@ def spans_of(index: TemplateIndex, words: np.ndarray, grams: np.ndarray, coverag
         low, high = int(at[first] - place[first]), int(at[last] - place[last])
         begin = max(0, low - BAND)
         part = words[begin : high + len(template) + BAND].tolist()
-        matched, start, end = aligned(template, part, (low + high) // 2 - begin, BAND + (high - low + 1) // 2)
-        if matched >= coverage * len(template):
-            found.append((matched, len(template), int(owner[first]), begin + start, begin + end))
+        # A short notice may stand there several times: before and after each span the rest of the part is aligned again.
+        rests = [(0, len(part))]
+        while rests:
+            a, b = rests.pop()
+            if b - a < coverage * len(template):
+                continue
+            matched, start, end = aligned(template, part[a:b], (low + high) // 2 - begin - a, BAND + (high - low + 1) // 2)
+            if matched and matched >= coverage * len(template):
+                found.append((matched, len(template), int(owner[first]), begin + a + start, begin + a + end))
+                rests += [(a, a + start), (a + end, b)]
         k = j
     found.sort(key=lambda f: (-f[0], -f[0] / f[1], f[2], f[3]))
     kept: list[tuple[int, int, int, int, int]] = []
