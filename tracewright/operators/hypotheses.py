@@ -5,7 +5,7 @@ predictions: detector, trace_id, split, domain, kind, label (1: success), p (raw
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tracewright.functions.scores import gate
 from tracewright.operators.metrics import auroc, calibration, decision_stats
-from tracewright.operators.training import fit_logistic, standardised
+from tracewright.operators.training import fit_left_out, probabilities, vector
 
 BASELINES = ("trust-agent", "any-error")
 
@@ -53,17 +53,16 @@ def fooled(predictions: DataFrame, kind: str) -> DataFrame:
 
 
 def leave_domain_out(rows: DataFrame, features: Sequence[str], c: float, domains: Sequence[str]) -> DataFrame:
-    """trace_id, domain, label and p of each domain's rows by a model of the other domains; a task for each domain."""
-    each = rows.select("trace_id", "domain", "label", *features, F.explode(F.array(*(F.lit(d) for d in domains))).alias("out"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("trace_id")
-        out = (pdf["domain"] == pdf["out"]).to_numpy()
-        x, y = pdf[list(features)].to_numpy(float), pdf["label"].to_numpy(float)
-        if not out.any() or len(set(y[~out])) < 2:
-            return pd.DataFrame(columns=["trace_id", "domain", "label", "p"])
-        mean, scale = standardised(x[~out])
-        w, b = fit_logistic((x[~out] - mean) / scale, y[~out], c)
-        return pd.DataFrame({"trace_id": pdf["trace_id"][out], "domain": pdf["domain"][out], "label": pdf["label"][out], "p": 1 / (1 + np.exp(-((x[out] - mean) / scale @ w + b)))})
-
-    return each.groupBy("out").applyInPandas(run, "trace_id string, domain string, label int, p double")
+    """trace_id, domain, label and p of each domain's rows by a model of the other domains."""
+    names = list(dict.fromkeys(domains))
+    part = F.coalesce(*(F.when(F.col("domain") == d, F.lit(k)) for k, d in enumerate(names)), F.lit(-1)).cast("long")
+    each = rows.select("trace_id", "domain", F.col("label").cast("int").alias("label"), part.alias("part"), vector(features))
+    fitted = fit_left_out(each.select("part", "label", "x"), features, [(c, k) for k in range(len(names))])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for k, own in pdf.groupby("part"):
+                if fitted[k] is not None:
+                    yield own[["trace_id", "domain", "label"]].assign(p=probabilities(np.array(own["x"].tolist(), float), fitted[k]))
+
+    return each.where("part >= 0").mapInPandas(run, "trace_id string, domain string, label int, p double")

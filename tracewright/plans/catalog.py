@@ -623,7 +623,7 @@ def _echo(request: str) -> str:
 def trn_1_cross_validation(spark, d):
     traces = at.traces(spark, d).where("gt_outcome != 'unknown'")
     rows = _features(spark, d).join(traces.select("trace_id", (F.col("gt_outcome") == "success").cast("int").alias("label")), "trace_id")
-    return training.best_c(training.cross_validation(rows, step_ops.FEATURES, (0.01, 0.1, 1.0)))
+    return training.best_c(training.cross_validation(rows, step_ops.FEATURES))
 
 
 @query(over("traces", "SELECT label, fold, count(*) AS n FROM (SELECT label, (row_number() OVER (PARTITION BY label ORDER BY trace_id) - 1) % 5 AS fold FROM (SELECT trace_id, CASE WHEN gt_outcome = 'success' THEN 1 ELSE 0 END AS label FROM traces)) GROUP BY ALL"))
