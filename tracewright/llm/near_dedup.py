@@ -13,8 +13,9 @@
    these differences are linked just if (100 D + t A) of both add up to (100 - t) times the centre's size at most (t: the
    threshold in hundredths), and sharing some only brings them closer; so the most central member is linked to
    every member that any such pair can link. All other pairs share differences, as many as the same sum tells, so the differences,
-   rarest first and cut to a prefix, are the next lists. This goes on for LEVELS levels; what is large then is compared in
-   full, in different components, so no link between components is lost.
+   rarest first and cut to a prefix, are the next lists. The first lists of one set of copies are much alike and form one
+   group; from then on each large list is a group. A shingle that is added by some is not in the centre, and one that is missing
+   is, so at most half of a group has the difference: lists halve from level to level, until all are small.
 4. A pair is filtered by size and by the estimate from the union's sketch, then verified on the full sets.
 
 The result is exact but for that probability.
@@ -32,13 +33,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.llm.components import components
-from tracewright.llm.storage import bucketed, written
+from tracewright.llm.storage import bucketed, scratch, written
 from tracewright.llm.textkernels import chunks, rolling, signed, texts_of, words_of
 
 SKETCH = 32
 #: Rows of a list of values, and of one of differences, that are compared in full. The latter are few.
 SMALL, SMALL_DIFFERENCES = 32, 256
-LEVELS = 4
+#: Parts that the rows of one group are dealt to while they meet its centre.
+PARTS = 16
 _MISS = 1e-7
 
 
@@ -137,10 +139,15 @@ def _lists(reps: DataFrame, percent: int, k: int) -> DataFrame:
 
 
 def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(grp, e, c): how many sets of a batch hold the element, so that a group's common ones are combined before they move."""
     for batch in batches:
         sets = [np.frombuffer(x.as_py(), np.int64) for x in batch.column(1)]
         group = np.repeat(batch.column(0).to_numpy(), [len(x) for x in sets])
-        yield pa.RecordBatch.from_arrays([pa.array(group), pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64))], ["grp", "e"])
+        element = np.concatenate(sets) if sets else np.empty(0, np.int64)
+        order = np.lexsort((element, group))
+        group, element = group[order], element[order]
+        first = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (element[1:] != element[:-1])])) if len(group) else np.empty(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(group[first]), pa.array(element[first]), pa.array(np.diff(np.append(first, len(group))))], ["grp", "e", "c"])
 
 
 def _differences(percent: int):
@@ -161,17 +168,30 @@ def _differences(percent: int):
     return run
 
 
-def _groups(large: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+def _named(large: DataFrame) -> DataFrame:
+    """(value, grp) of lists: those with one first member share a group, as do those that a member's least group brings together.
+
+    Copies stand in many lists that are nearly the same; so they meet in one group, or few.
+    """
+    first = large.groupBy("value").agg(F.min(F.xxhash64("doc")).alias("f"))
+    least = large.join(first.hint("merge"), "value").groupBy("doc").agg(F.min("f").alias("f"))
+    return large.join(least, "doc").groupBy("value").agg(F.min("f").alias("grp"))
+
+
+def _groups(large: DataFrame, sets: DataFrame, percent: int, level: int) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) of members with the most central one of their group, and the lists of differences that are left."""
-    # Lists with the same first member share a group, so copies of one text meet in few groups.
-    first = large.groupBy("value").agg(F.min(F.struct(F.xxhash64("doc").alias("order"), "doc"))["doc"].alias("grp"))
-    members = large.join(first, "value").select("grp", "doc", "n").distinct()
+    # A list may hold a large share of the rows: joins on it are merge joins, which adaptive execution splits.
+    named = large.withColumn("grp", F.col("value")) if level else large.join(_named(large).hint("merge"), "value")
+    members = named.select("grp", "doc", "n").distinct()
     met = written(members, "members").join(sets, "doc").select("grp", "doc", "n", "shingles")
     size = met.groupBy("grp").agg(F.count("*").alias("size"))
-    counts = met.select("grp", "shingles").mapInArrow(_elements, "grp long, e long").groupBy("grp", "e").agg(F.count("*").alias("c"))
+    counts = met.select("grp", "shingles").mapInArrow(_elements, "grp long, e long, c long").groupBy("grp", "e").agg(F.sum("c").alias("c"))
     centres = counts.join(size, "grp").where("2 * c > size").groupBy("grp").agg(F.collect_list("e").alias("centre"))
-    rows = met.join(centres, "grp", "left").select("grp", "doc", "n", "shingles", "centre").mapInArrow(_differences(percent), "grp long, doc long, n long, far long, most long, differences array<long>")
-    rows = written(rows, "differences")
+    # A centre is as large as a member at most twice over, and goes to each part of its group.
+    centres = centres.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    met = met.withColumn("part", F.pmod(F.xxhash64("doc"), F.lit(PARTS)).cast("int"))
+    rows = met.join(centres.hint("merge"), ["grp", "part"], "left").select("grp", "doc", "n", "shingles", "centre").mapInArrow(_differences(percent), "grp long, doc long, n long, far long, most long, differences array<long>")
+    rows = written(rows.repartition("doc"), "differences")
     best = rows.groupBy("grp").agg(F.min(F.struct("far", "doc")).alias("best"))
     rows = rows.join(best, "grp").withColumn("inside", F.expr("far + best.far <= most"))
     star = rows.where(F.col("inside") & (F.col("doc") != F.col("best.doc"))).select(F.least("doc", "best.doc").alias("a"), F.greatest("doc", "best.doc").alias("b")).distinct()
@@ -190,6 +210,11 @@ def _groups(large: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame,
 
 def link_classes(reps: DataFrame, texts: DataFrame, shingle: int, percent: int, k: int = SKETCH) -> DataFrame:
     """(node, root) of the classes reps (doc, n, sketch) that are linked, directly or over others."""
+    with scratch() as block:
+        return block.out(_linked(reps, texts, shingle, percent, k), "roots")
+
+
+def _linked(reps: DataFrame, texts: DataFrame, shingle: int, percent: int, k: int) -> DataFrame:
     lists = written(_lists(reps, percent, k), "lists")
     lists = lists.join(lists.groupBy("value").agg(F.count("*").alias("c")).where("c > 1").select("value"), "value")
     lists = lists.withColumns({"far": F.lit(0).cast("long"), "most": F.lit(0).cast("long"), "nd": F.lit(1).cast("long"), "inside": F.lit(False)})
@@ -215,26 +240,28 @@ def link_classes(reps: DataFrame, texts: DataFrame, shingle: int, percent: int,
 
     close = F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent
     hubs = lists.groupBy("value").agg(F.min(F.struct(F.xxhash64("doc").alias("order"), "doc", "n")).alias("h"))
-    pairs = lists.join(hubs.select("value", F.col("h.doc").alias("doc2"), F.col("h.n").alias("n2")), "value").where(close & (F.col("doc") != F.col("doc2")))
+    pairs = lists.join(hubs.select("value", F.col("h.doc").alias("doc2"), F.col("h.n").alias("n2")).hint("merge"), "value").where(close & (F.col("doc") != F.col("doc2")))
     roots = components(verified(pairs))
-    for level in range(LEVELS + 1):
+    level = 0
+    while True:
         now = rooted(lists, roots)
         open_ = now.groupBy("value").agg(F.count("*").alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("value", "c")
-        now = written(now.join(open_, "value"), "open-lists")
+        now = written(now.join(open_.hint("merge"), "value"), "open-lists")
         if now.isEmpty():
             return roots
-        few = F.col("c") <= (SMALL_DIFFERENCES if level else SMALL) if level < LEVELS else F.lit(True)
+        few = F.col("c") <= (SMALL_DIFFERENCES if level else SMALL)
         small = now.where(few)
         names = {c: c + "2" for c in ("doc", "n", "far", "nd", "inside", "root")}
         other = small.select("value", *names).withColumnsRenamed(names)
         may = close & (F.col("doc") < F.col("doc2")) & (F.col("root") != F.col("root2")) & ~(F.col("inside") & F.col("inside2")) & (F.col("far") + F.col("far2") - F.col("most") <= (100 + percent) * F.least("nd", "nd2"))
         links = verified(small.join(other, "value").where(may).select("doc", "doc2"))
         large = now.where(~few)
-        if level == LEVELS or large.isEmpty():
+        if large.isEmpty():
             return roots if links.isEmpty() else joined(roots, links)
-        star, lists = _groups(large.select("value", "doc", "n"), sets, percent)
+        star, lists = _groups(large.select("value", "doc", "n"), sets, percent, level)
         roots = joined(roots, links.unionByName(star))
         lists = written(lists, "lists")
+        level += 1
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, sketch: int = SKETCH) -> DataFrame:

@@ -5,22 +5,32 @@ from __future__ import annotations
 import atexit
 import contextlib
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
-_WRITTEN: list[tuple[SparkSession, str]] = []
+#: Tables (session, path, catalog name or None) that go when the driver ends.
+_WRITTEN: list[tuple[SparkSession, str, str | None]] = []
+_OPEN = threading.local()
 #: Spark then drops the shuffle files of a query as soon as it has ended.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session, or where that is unset (tests on one machine) a temporary folder."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """``spark.checkpoint.dir`` of the session.
+
+    Where it is unset, a session on one machine (tests) gets a temporary folder; on a cluster that is an error, as executors
+    don't see each other's temporary folders.
+    """
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
-        found = spark.sparkContext.getCheckpointDir() or f"file://{tempfile.gettempdir()}/tracewright-{uuid.uuid4().hex}"
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='tracewright-')}")
+        found = context.getCheckpointDir()
     return found
 
 
@@ -30,6 +40,41 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def _drop(tables: list[tuple[SparkSession, str, str | None]]) -> None:
+    for spark, path, name in tables:
+        if name:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        delete(spark, path)
+
+
+def _scopes() -> list[list[tuple[SparkSession, str, str | None]]]:
+    if not hasattr(_OPEN, "scopes"):
+        _OPEN.scopes = [_WRITTEN]
+    return _OPEN.scopes
+
+
+class scratch:
+    """Tables written inside the block go when it ends, but for those that `out` writes."""
+
+    def __enter__(self) -> scratch:
+        self.mine: list[tuple[SparkSession, str, str | None]] = []
+        _scopes().append(self.mine)
+        return self
+
+    def out(self, df: DataFrame, name: str) -> DataFrame:
+        """df as a table that outlives the block."""
+        scopes = _scopes()
+        inner = scopes.pop()
+        try:
+            return written(df, name)
+        finally:
+            scopes.append(inner)
+
+    def __exit__(self, *_: object) -> None:
+        _scopes().pop()
+        _drop(self.mine)
+
+
 @contextlib.contextmanager
 def _dropping_shuffles(spark: SparkSession) -> Iterator[None]:
     before = spark.conf.get(_CLEANUP, None)
@@ -43,34 +88,32 @@ def _dropping_shuffles(spark: SparkSession) -> Iterator[None]:
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read again: it cuts the lineage and outlives lost executors.
 
-    The shuffle files of making it go at once, the tables of a session when the driver ends.
+    The shuffle files of making it go at once, the table with its `scratch` block or else when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tracewright/{name}-{uuid.uuid4().hex}"
+    _scopes()[-1].append((spark, path, None))
     with _dropping_shuffles(spark):
         df.write.parquet(path)
-    _WRITTEN.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
 def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
-    """df as a table in the warehouse, bucketed by key like the shuffles of the session: joins on the key don't move it again."""
+    """df as a table of the shared folder, bucketed by key like the shuffles of the session: joins on the key don't move it again."""
     spark = df.sparkSession
     table = f"tracewright_{name}_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/tracewright/{table}"
+    _scopes()[-1].append((spark, path, table))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     with _dropping_shuffles(spark):
-        df.write.bucketBy(n, key).format("parquet").saveAsTable(table)
-    _WRITTEN.append((spark, f"table:{table}"))
+        df.write.bucketBy(n, key).format("parquet").option("path", path).saveAsTable(table)
     return spark.table(table)
 
 
 @atexit.register
 def _clean() -> None:
-    for spark, path in _WRITTEN:
+    for table in _WRITTEN:
         try:
-            if path.startswith("table:"):
-                spark.sql(f"DROP TABLE IF EXISTS {path[6:]}")
-            else:
-                delete(spark, path)
+            _drop([table])
         except Exception:  # the session has ended already; the folder's owner clears it
             return
