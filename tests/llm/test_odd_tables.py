@@ -52,6 +52,13 @@ def test_packing(odd):
     assert sum(r.length for r in got if r.doc_id == 2) == 1 and sum(r.length for r in got if r.doc_id == 5) == 2 * next(r.doc_tokens for r in got if r.doc_id == 5)
 
 
+def test_a_labelled_document_that_is_repeated_counts_once(spark):
+    """What the driver gathers is bounded by the sample, whatever the documents repeat."""
+    docs = spark.createDataFrame([(1, "a b"), (3, "c")] + [(4, f"text {k % 3}") for k in range(5000)], "doc_id long, text string").repartition(7)
+    known = spark.createDataFrame([(1, 1), (3, 0), (4, 1)], "doc_id long, quality int")
+    assert quality_classifier.sample_of(docs, known, 20_000).count() == 3
+
+
 def test_classifier(spark, odd, none):
     for known in (labels(spark), labels(spark, ())):
         forest = quality_classifier.train(odd, known)
@@ -65,7 +72,7 @@ def test_top_k(spark):
     rows = [(0, [1.0, 2.0]), (100, [1.0]), (1, [1.0, 2.0]), (2, [1.0, 2.0]), (2, [0.5, 0.5]), (3, [nan, 1.0]), (4, [inf, 1.0]), (5, [None, 1.0]), (6, None), (None, [1.0, 1.0]), (7, []), (8, [-1.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 AS id", "2 AS block")
     got = [tuple(r) for r in top_k.top_k(df).orderBy("query_id", "rank").collect()]
-    assert got == [(0, 1, 1, 5 * 1024**2), (0, 2, 2, int(1.5 * 1024**2)), (0, 3, 8, -(1024**2))]
+    assert got == [(0, 1, 1, 5 * 1024**2), (0, 2, 2, 5 * 1024**2), (0, 3, 2, int(1.5 * 1024**2)), (0, 4, 8, -(1024**2))]
     assert top_k.top_k(df.limit(0)).collect() == []
 
 

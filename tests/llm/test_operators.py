@@ -12,7 +12,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tracewright.llm import chat_format, license_scan, near_dedup, packing, quality_classifier, registry, secret_scan, substring_dedup
+from tracewright.llm import chat_format, license_scan, near_dedup, packing, quality_classifier, registry, secret_scan, substring_dedup, top_k
 from tracewright.llm.docstats import FEATURES, features
 from tracewright.llm.registry import tokenizer_folder
 from tracewright.llm.textkernels import words_of
@@ -223,10 +223,106 @@ def test_packing(spark, tokenizers):
     assert n <= 1.03 * sum(map(len, ids.values())) / 2048 + 1
 
 
-def test_neighbours_are_those_of_bm25():
-    terms, weights = [np.array([1, 2]), np.array([2, 3]), np.array([1, 2]), np.array([9])], [np.array([1.0, 2.0]), np.array([3.0, 1.0]), np.array([1.0, 1.0]), np.array([1.0])]
-    assert packing._Shard(terms, weights).neighbours(0, np.array([False, True, True, True])).tolist() == [1, 2]
-    assert [p[0] for p in packing.fill_windows([10, 9, 8, 7], terms, weights, 32, 16)][:3] == [0, 1, 2]
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 2**32 - 1), max_size=70), min_size=1, max_size=6))
+def test_checksums_of_blocks_and_of_runs_of_them(found):
+    first = np.cumsum([0, *(len(x) + 1 for x in found)])
+    ids = np.array([v for x in found for v in [*x, 1]], np.uint32)
+    crcs, at = packing.block_crcs(ids, first)
+    for k in range(len(found)):
+        for block in range(at[k], at[k + 1]):
+            a = first[k] + 16 * (block - at[k])
+            assert crcs[block] == zlib.crc32(ids[a : min(a + 16, first[k + 1])].astype("<u4").tobytes())
+        n = first[k + 1] - first[k]
+        whole = packing.joined_crcs(crcs, at[k : k + 1], at[k + 1 : k + 2] - at[k : k + 1], np.array([(n - 1) % 16 + 1]))
+        assert whole[0] == zlib.crc32(ids[first[k] : first[k + 1]].astype("<u4").tobytes())
+
+
+def bm25(found, seed, df, k1=1.2, b=0.75):
+    """Score of each text for the words of texts[seed], in the open."""
+    words = [collections.Counter(t.translate({c: c + 32 for c in range(65, 91)}).split()) for t in found]
+    mean = sum(sum(w.values()) for w in words) / len(words)
+    idf = lambda t: np.log(1 + (len(found) - df[t] + 0.5) / (df[t] + 0.5))
+    return [sum(idf(t) * w[t] * (k1 + 1) / (w[t] + k1 * (1 - b + b * sum(w.values()) / mean)) for t in words[seed] if t in w) for w in words]
+
+
+def test_neighbours_are_those_of_bm25(spark, monkeypatch):
+    """The index of a shard of real texts against scores computed word by word."""
+    monkeypatch.setattr(packing, "TERM_SPACE", 1 << 30)  # no two words share a counter
+    rows = spark.read.parquet(f"{SMALL}/documents.parquet").orderBy("doc_id").collect()
+    found = [r.text or "" for r in rows][:80] + ["", "the", "The the THE"]
+    terms, often, first, counts = packing.document_terms([t.encode() for t in found])
+    df = collections.Counter(t for text in found for t in set(text.translate({c: c + 32 for c in range(65, 91)}).split()))
+    count = collections.Counter(terms.tolist())
+    assert sorted(count.values()) == sorted(df.values())
+    n = np.array([count[t] for t in terms.tolist()])
+    idf = np.log(1 + (len(found) - n + 0.5) / (n + 0.5))
+    often = often.astype(float)
+    weights = idf * often * 2.2 / (often + 1.2 * (0.25 + 0.75 * np.repeat(counts / counts.mean(), np.diff(first))))
+    index, rng = packing.InvertedIndex(terms, weights, first), np.random.default_rng(0)
+    for seed in range(len(found)):
+        unused = (rng.random(len(found)) < 0.7) & (np.arange(len(found)) != seed)
+        score = bm25(found, seed, df)
+        got = index.neighbours(seed, unused).tolist()
+        assert set(got) == {k for k in range(len(found)) if unused[k] and score[k] > 0}
+        assert all(score[a] >= score[b] - 1e-9 for a, b in zip(got[:-1], got[1:], strict=True))
+
+
+def test_windows_take_the_best_unused_neighbours():
+    terms, first = np.array([1, 2, 2, 3, 1, 2, 9], np.uint64), np.array([0, 2, 4, 6, 7, 7])
+    index = packing.InvertedIndex(terms, np.array([1.0, 2.0, 3.0, 1.0, 1.0, 1.0, 1.0]), first)
+    assert index.neighbours(0, np.array([False, True, True, True, True])).tolist() == [1, 2]
+    assert [p[0] for p in packing.fill_windows([10, 9, 8, 7, 0], index, 32, 16)][:3] == [0, 1, 2]
+    pieces = packing.fill_windows([20, 20, 20, 20, 0], index, 32, 16)
+    assert sum(p[2] for p in pieces) == 80 and max(p[4] + p[2] for p in pieces) <= 32 and min(p[2] for p in pieces) > 0
+
+
+@pytest.mark.parametrize(("rows", "size"), [(7, 1 << 26), (1024, 5000)])
+def test_packing_in_small_shards(spark, tokenizers, monkeypatch, rows, size):
+    """Shards that end at a number of rows, and at a size; documents of one rare term stand side by side."""
+    monkeypatch.setattr(packing, "SHARD_ROWS", rows)
+    monkeypatch.setattr(packing, "SHARD_BYTES", size)
+    found = texts(2, 90) + ["x y zebra"] * 40 + ["word " * 9000]
+    df = spark.createDataFrame(list(enumerate(found)), "doc_id long, text string").repartition(3)
+    ids = {d: tokenizers[0].encode(t, add_special_tokens=False).ids + [1] for d, t in enumerate(found)}
+    check_packing(packing.pack_documents(df, tokenizer_folder()).collect(), ids)
+
+
+@pytest.mark.parametrize(("data", "asked"), [(8192, 2048), (40, 7)])
+def test_top_k(spark, monkeypatch, data, asked):
+    """Clusters, copies of one vector, ids that repeat, and components of any size, in one block and in many."""
+    monkeypatch.setattr(top_k, "DATA_BLOCK", data)
+    monkeypatch.setattr(top_k, "QUERY_BLOCK", asked)
+    rng = np.random.default_rng(0)
+    centres = rng.normal(size=(12, 8)) * 3
+    rows = [(i, (centres[i % 12] + rng.normal(size=8) * 0.2).tolist()) for i in range(900)] + [(1000 + i, [1.0] * 8) for i in range(300)]
+    rows += [(100, [0.5] * 8), (100, [0.25] * 8), (7, [3e5] * 8), (200, [3e4] * 8), (300, [1e12] * 8), (301, [1e13] * 8)]
+    whole = [(i, [int(np.floor(1024 * c)) for c in v]) for i, v in rows]
+    want = []
+    for a, (i, v) in enumerate(whole):
+        if i % 100 == 0:
+            score = lambda w: min(max(sum(x * y for x, y in zip(v, w, strict=True)), -(2**63) + 1), 2**63 - 1)  # noqa: B023, E731
+            best = sorted((-score(w), j) for b, (j, w) in enumerate(whole) if b != a)[:10]
+            want += [(i, k + 1, j, -s) for k, (s, j) in enumerate(best)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    assert sorted(map(tuple, top_k.top_k(df).collect())) == sorted(want)
+
+
+def test_blocks_that_cannot_reach_a_query_stay_away(spark, monkeypatch):
+    monkeypatch.setattr(top_k, "DATA_BLOCK", 50)
+    monkeypatch.setattr(top_k, "QUERY_BLOCK", 5)
+    rng = np.random.default_rng(1)
+    rows = [(i, (np.eye(8)[i % 8] * 50 + rng.normal(size=8)).tolist()) for i in range(2000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    met, plain = [], top_k.reachable
+
+    def reachable(pairs, home, first):
+        met.append((pairs.count(), plain(pairs, home, first).count()))
+        return plain(pairs, home, first)
+
+    monkeypatch.setattr(top_k, "reachable", reachable)
+    top_k.top_k(df).collect()
+    assert 0 < met[0][1] < met[0][0] / 2
 
 
 def test_classifier_on_held_out_rows(spark):
