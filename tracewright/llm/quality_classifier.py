@@ -88,27 +88,36 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, bins: int
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = texts_of(batch.column(1))
+        texts = texts_of(batch.column(2))
         for i, j in chunks(texts):
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(list(features(texts[i:j])), pa.list_(pa.float64()))], ["label", "features"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in range(2)), pa.array(list(features(texts[i:j])), pa.list_(pa.float64()))], ["doc_id", "label", "features"])
 
 
 def fold(doc_id: str = "doc_id") -> F.Column:
     return F.crc32(F.col(doc_id).cast("string")) % FOLDS
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Forest:
-    """Fit on at most `rows` labelled documents outside fold 0, the first ones by the hash of their ids.
+def sample_of(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
+    """(label, features) of at most `rows` labelled documents outside fold 0, the first ones by the hash of their ids.
 
-    Rows without an id or a quality are left out; a document with several labels has their mean, rounded up.
+    Rows without an id or a quality are left out; a document with several labels has their mean, rounded up. Of several texts with one id
+    the one with the least features stands for all.
     """
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").where(fold() != 0)
     known = known.groupBy("doc_id").agg((F.avg(F.col("quality").cast("double")) >= 0.5).cast("long").alias("label"))
     sample = known.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(rows)
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     # The sample has `rows` pairs of numbers at most, so it may be broadcast.
-    chosen = texts.join(F.broadcast(sample), "doc_id").select("label", "text").mapInArrow(_features, "label long, features array<double>")
-    found = chosen.toPandas()
+    chosen = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
+    found = chosen.select("doc_id", "label", "text").mapInArrow(_features, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, label long, features array<double>")
+    return found.groupBy("doc_id", "label").agg(F.min("features").alias("features")).select("label", "features")
+
+
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Forest:
+    """Fit on sample_of(docs, labels, rows): what the driver gathers is `rows` rows of numbers at most.
+
+    Without labelled documents, or with labels of one class, the forest has no trees.
+    """
+    found = sample_of(docs, labels, rows).toPandas()
     x = np.array(found["features"].tolist(), np.float64).reshape(len(found), len(FEATURES))
     order = np.lexsort((*x.T[::-1], found["label"].to_numpy()))
     return fit(x[order], found["label"].to_numpy(np.float64)[order])
@@ -133,12 +142,16 @@ def score_quality(docs: DataFrame, forest: Forest) -> DataFrame:
     """doc_id, held_out (fold 0: never trained on), score in 0 to 1 and predicted (1 from ACCEPTED on).
 
     docs needs doc_id and text; other columns are ignored. Null texts score as empty ones. Repeated rows get equal scores.
-    A null doc_id is never held out. With no labels, or labels of one class, the score is one smoothed share for all.
+    A null doc_id is never held out. With no labels, or labels of one class, the score is one smoothed share for all. An empty
+    table gives an empty result.
     """
     scored = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_scores(forest, None), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
     return scored.select("doc_id", F.coalesce(fold() == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= ACCEPTED).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, forest: Forest, threshold: float = ACCEPTED) -> DataFrame:
-    """The rows of docs that score `threshold` or more, with all their columns."""
+    """The rows of docs that score `threshold` or more, with all their columns.
+
+    Null texts score as empty ones; repeated rows stay or go together; an empty table gives an empty result.
+    """
     return docs.mapInArrow(_scores(forest, threshold), docs.schema)
