@@ -215,14 +215,14 @@ _FOUND = "q_block long, worst binary, least long, found array<struct<query_row:
 
 
 def block_pairs(query_blocks: DataFrame, data_blocks: DataFrame) -> DataFrame:
-    """(q_block, block, inner, bound) of all pairs of blocks of one length: centres and radii only."""
+    """(q_block, block, size, inner, bound) of all pairs of blocks of one length: centres and radii only."""
     parts = int(data_blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    data = data_blocks.select("dim", "block", "centre", "norm", "radius", F.pmod("block", F.lit(parts)).cast("int").alias("share"))
+    data = data_blocks.select("dim", "block", "centre", "norm", "radius", F.expr("octet_length(rows) div 8").alias("size"), F.pmod("block", F.lit(parts)).cast("int").alias("share"))
     asks = query_blocks.select("dim", F.col("block").alias("q_block"), F.col("centre").alias("q_centre"), F.col("norm").alias("q_norm"), F.col("radius").alias("q_radius"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("share"))
     met = data.join(asks, ["dim", "share"])
     inner = F.aggregate(F.zip_with("q_centre", "centre", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
     met = met.withColumn("inner", inner)
-    return met.select("q_block", "block", "inner", score_bound(F.col("inner"), F.col("q_norm"), F.col("q_radius"), F.col("norm"), F.col("radius")).alias("bound"))
+    return met.select("q_block", "block", "size", "inner", score_bound(F.col("inner"), F.col("q_norm"), F.col("q_radius"), F.col("norm"), F.col("radius")).alias("bound"))
 
 
 def reachable(pairs: DataFrame, home: DataFrame, first: DataFrame) -> DataFrame:
@@ -265,7 +265,8 @@ def top_k(embeddings: DataFrame, k: int = K, every: int = 100, scale: int = 1024
         met = chosen.join(data.select("block", "rows", "ids", "vectors"), "block").join(asks, "q_block").repartition("q_block", "block")
         return met.select("q_block", "dim", "rows", "ids", "vectors", "q_rows", "q_ids", "q_vectors", "worst").mapInArrow(_searched(k), _FOUND)
 
-    home = pairs.groupBy("q_block").agg(F.max_by("block", F.struct("inner", "block")).alias("block"))
+    # A block of k rows or fewer may leave a query without a kth score.
+    home = pairs.groupBy("q_block").agg(F.max_by("block", F.struct(F.col("size") > k, "inner", "block")).alias("block"))
     first = written(searched(home.withColumn("worst", F.lit(None).cast("binary"))), "first-round")
     found = first.unionByName(searched(reachable(pairs, home, first))).select(F.inline("found"))
     best = Window.partitionBy("query_row").orderBy(F.col("score").desc(), "vec_id", "row")
