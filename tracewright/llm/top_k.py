@@ -204,7 +204,7 @@ def _searched(k: int):
                 flat = [np.repeat(longs["q_rows"], per_query), np.repeat(longs["q_ids"], per_query), longs["ids"][at], longs["rows"][at], s.scores[some]]
                 found = pa.StructArray.from_arrays([pa.array(c) for c in flat], ["query_row", "query_id", "vec_id", "row", "score"])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([pair["q_block"]]), pa.array([s.worst.tobytes()], pa.binary()), pa.array([int(s.worst.min(initial=_NONE)) if len(s.worst) else _NONE]), pa.ListArray.from_arrays(pa.array([0, len(found)], pa.int32()), found)],
+                    [pa.array([pair["q_block"]]), pa.array([s.worst.tobytes()], pa.binary()), pa.array([int(s.worst.min())]), pa.ListArray.from_arrays(pa.array([0, len(found)], pa.int32()), found)],
                     ["q_block", "worst", "least", "found"],
                 )
 
