@@ -151,25 +151,77 @@ def test_sets_within_the_sketch_meet_larger_ones(spark, percent):
 ASSIGN = re.compile(r"""((?:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
 
+def base_spans(t):
+    spans = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(t) if len(m[2]) >= 6] + [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+    return sorted(spans + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24])
+
+
+def entropy_spans(t):
+    """Every window of every candidate, counted anew."""
+    w, out = secret_scan.WIDTH, []
+    for word in secret_scan.PLACEHOLDERS:
+        t = re.sub(word, " " * len(word), t, flags=re.I)
+    for m in re.finditer(f"[A-Za-z0-9+/_=-]{{{w},}}", t):
+        c = m[0]
+        if any(re.search(p, c) for p in secret_scan.ALLOWED):
+            continue
+        bits = next(b for p, b in secret_scan.CLASSES if re.search(p, c))
+        for i in range(len(c) - w + 1):
+            score = sum(round(1000 * n * np.log2(n)) for n in collections.Counter(c[i : i + w]).values())
+            if score <= int(1000 * w * (np.log2(w) - bits)):
+                if out and out[-1][1] >= m.start() + i:
+                    out[-1][1] = m.start() + i + w
+                else:
+                    out.append([m.start() + i, m.start() + i + w])
+    return [(a, 3, b) for a, b in out]
+
+
+def check_secrets(spark, found):
+    df = spark.createDataFrame(list(enumerate(found)), "doc_id long, text string").repartition(4)
+    rows = {r.doc_id: r for r in secret_scan.scan_secrets(df).collect()}
+    masked = {r.doc_id: r.text for r in secret_scan.redact_secrets(df).collect()}
+    named = lambda spans: ",".join(f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
+    for d, t in enumerate(found):
+        base = base_spans(t)
+        whole = base + [e for e in entropy_spans(t) if not any(a <= e[0] and e[2] <= b for a, _, b in base)]
+        assert rows[d].spans == named(whole) and rows[d].base_sha256 == hashlib.sha256(named(base).encode()).hexdigest(), t[:200]
+        want, at = "", 0
+        for a, _, b in sorted(whole):
+            if b > at:
+                want += t[at:a] + "[REDACTED]" if a >= at else ""
+                at = b
+        assert masked[d] == want + t[at:], t[:200]
+
+
 def test_secret_scan(spark):
-    parts = ["token=token:abcdefg", "PassWord : 'hunter2xyz'", "api_key=\"abc\"", "apikey==a1b2c3d4", "AKIA" + "A" * 15, "xAKIAAKIA" + "B2" * 8, "0123456789abcdef01234567", "é😀", "deadbeef" * 5, "secret\n=abcdef", "words"]
+    """Fixed patterns and entropy against plain Python, masks too."""
+    parts = ["token=token:abcdefg", "PassWord : 'hunter2xyz'", "api_key=\"abc\"", "apikey==a1b2c3d4", "AKIA" + "A" * 15, "xAKIAAKIA" + "B2" * 8, "0123456789abcdef01234567", "é😀", "deadbeef" * 5, "secret\n=abcdef", "words", "q7Zk2Xw9Lp4Vt8Rb1Ny6", "Example"]
     rng = np.random.default_rng(1)
-    found = [" ".join(rng.choice(parts, rng.integers(0, 7))) for _ in range(200)] + ["".join(rng.choice(parts, 5)) for _ in range(100)]
-    df = spark.createDataFrame(list(enumerate(found)), "doc_id long, text string")
-    for r in secret_scan.scan_secrets(df).collect():
-        t = found[r.doc_id]
-        spans = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(t) if len(m[2]) >= 6] + [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20] + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
-        base = ",".join(f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
-        assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest() and set(filter(None, base.split(","))) <= set(r.spans.split(","))
+    check_secrets(spark, [" ".join(rng.choice(parts, rng.integers(0, 7))) for _ in range(150)] + ["".join(rng.choice(parts, 5)) for _ in range(100)])
+
+
+def test_entropy_of_random_runs(spark, monkeypatch):
+    """Runs of few and many different characters, short and long, cut at every place that the scan cuts at."""
+    monkeypatch.setattr(secret_scan, "_CUT", 50)
+    monkeypatch.setattr(secret_scan, "_BLOCK", 3)
+    rng, found = np.random.default_rng(2), []
+    kinds = ["0123456789abcdef", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-", "01", "abcé "]
+    for _ in range(120):
+        runs = []
+        for _ in range(rng.integers(1, 8)):
+            letters = list(kinds[rng.integers(5)])
+            runs.append("".join(rng.choice(letters[: rng.integers(2, len(letters) + 1)], rng.integers(15, 60))))
+        found.append(["", " ", "\n", "é"][rng.integers(4)].join(runs))
+    for n in (127, 128, 129, 237, 238, 700):
+        found.append("".join(rng.choice(list(kinds[2][:22]), n)))
+    check_secrets(spark, found)
 
 
 def test_entropy_windows(spark):
     key = "q7Zk2Xw9Lp4Vt8Rb1Ny6Mc3Hd5Js0GfTe"
-    found = [f"key {key} end", "z" * 34, "donaudampfschifffahrtsgesellschaft", "EXAMPLE" + key, "123e4567-e89b-12d3-a456-426614174000", f"{'z' * 30}{key}"]
+    found = [f"key {key} end", "z" * 34, "donaudampfschifffahrtsgesellschaft", "EXAMPLE" + key, "123e4567-e89b-12d3-a456-426614174000", f"{'z' * 30}{key}", key[:20], key[:19]]
     got = {r.doc_id: r.spans for r in secret_scan.scan_secrets(spark.createDataFrame(list(enumerate(found)), "doc_id long, text string")).collect()}
-    assert [got[k] for k in range(5)] == [f"entropy:4:{4 + len(key)}", "", "", "", ""] and got[5].startswith("entropy:")
-    masked = {r.doc_id: r.text for r in secret_scan.redact_secrets(spark.createDataFrame(list(enumerate(found)), "doc_id long, text string")).collect()}
-    assert masked[0] == "key [REDACTED] end" and masked[1] == found[1]
+    assert [got[k] for k in (0, 1, 2, 3, 4, 6, 7)] == [f"entropy:4:{4 + len(key)}", "", "", f"entropy:7:{7 + len(key)}", "", "entropy:0:20", ""] and got[5].startswith("entropy:")
 
 
 def test_redaction_counts_characters(spark):
