@@ -85,9 +85,21 @@ def test_chat(spark):
 
 
 def test_pipeline_stages(spark, odd, none, tmp_path):
+    """Each stage on odd rows, on no rows, and beside a column of the name that numbers rows."""
     labels(spark).write.parquet(str(tmp_path / "labels.parquet"))
-    for docs in (odd.select("doc_id", "text", "lang", "source", "n_chars"), none):
-        for _, stage in corpus_pipeline.STAGES[:-1]:
+    plain = ["doc_id", "text", "lang", "source", "n_chars"]
+    for docs in (odd.select(*plain), odd.selectExpr(*plain, "'x' AS _row"), none):
+        for name, stage in corpus_pipeline.STAGES:
             out = stage(spark, docs, str(tmp_path))
-            assert out.columns == docs.columns
-            out.collect()
+            assert name == "packing" or out.columns == docs.columns
+            rows = out.collect()
+            assert docs is not none or rows == []
+
+
+def test_pipeline_judges_rows(spark, tmp_path):
+    """Different texts of one id are judged apart, and one of several equal rows stays."""
+    words = [" ".join(f"{a}{i}" for i in range(40)) for a in "abc"]
+    rows = [(1, words[0]), (1, words[1]), (2, words[0]), (3, words[2]), (3, words[2]), (None, words[1]), (4, None), (4, None), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(1)
+    out = corpus_pipeline.STAGES[1][1](spark, docs, str(tmp_path)).collect()
+    assert sorted(filter(None, (r.text for r in out))) == words and sum(not r.text for r in out) == 3
