@@ -2,7 +2,7 @@
 
 One pass over the texts tokenises each document and keeps, in place of its ids, their number and a checksum of each block of
 BLOCK ids; checksums of joined blocks follow by algebra, so ids are never shuffled. The same pass keeps each document's terms (all its
-distinct words, by 64-bit hashes) and their frequencies. Document frequencies are counted from these in a table of TERM_SPACE
+distinct words, by 40-bit hashes: of a shard's words two have one hash in about one shard of fifty) and their frequencies. Document frequencies are counted from these in a table of TERM_SPACE
 counters, which bounds what the driver holds; a counter that several terms share only makes their weight a little smaller.
 
 Whole windows of a document are sequences of their own. The rests, of less than a window, are sorted by the rarest of
@@ -230,6 +230,19 @@ def _binary(values: np.ndarray, first: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(first) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
 
 
+def _narrow(terms: np.ndarray, first: np.ndarray) -> pa.Array:
+    """The upper 40 bits of the terms, as five bytes each."""
+    return _binary(terms.view(np.uint8).reshape(-1, 8)[:, 3:].reshape(-1), first * 5)
+
+
+def _terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All terms of a column in a row, and where each row's start."""
+    flat, first = _flat(column, np.uint8)
+    wide = np.zeros((len(flat) // 5, 8), np.uint8)
+    wide[:, :5] = flat.reshape(-1, 5)
+    return wide.view(np.uint64).ravel(), first // 5
+
+
 def _flat(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
     """All values of a binary column in a row, and where each row's start."""
     parts = column.to_pylist()
@@ -250,7 +263,7 @@ def _summaries(folder: str):
             for i, j in chunks(texts):
                 ids, first = tokenizer.encode(texts[i:j])
                 terms, often, start, words = document_terms(texts[i:j])
-                columns = [batch.column(0).slice(i, j - i), pa.array(np.diff(first)), pa.array(words), _binary(*block_crcs(ids, first)), _binary(terms, start), _binary(often, start)]
+                columns = [batch.column(0).slice(i, j - i), pa.array(np.diff(first)), pa.array(words), _binary(*block_crcs(ids, first)), _narrow(terms, start), _binary(often, start)]
                 yield pa.RecordBatch.from_arrays(columns, _SUMMARY)
 
     return run
@@ -260,7 +273,7 @@ def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
     """(slot, n): documents by counter; under -1 the words and under -2 the documents."""
     counts, words, docs = np.zeros(TERM_SPACE, np.int64), 0, 0
     for batch in batches:
-        counts += np.bincount((_flat(batch.column(0), np.uint64)[0] % np.uint64(TERM_SPACE)).astype(np.int64), minlength=TERM_SPACE)
+        counts += np.bincount((_terms(batch.column(0))[0] % np.uint64(TERM_SPACE)).astype(np.int64), minlength=TERM_SPACE)
         words += int(batch.column(1).to_numpy().sum())
         docs += batch.num_rows
     some = np.flatnonzero(counts)
@@ -272,9 +285,9 @@ def _dealt(frequencies):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            terms, first = _flat(batch.column(_SUMMARY.index("terms")), np.uint64)
+            terms, first = _terms(batch.column(_SUMMARY.index("terms")))
             n = frequencies.value[(terms % np.uint64(TERM_SPACE)).astype(np.int64)]
-            key = np.minimum(n, (1 << 30) - 1).astype(np.uint64) << np.uint64(32) | terms >> np.uint64(32)
+            key = np.minimum(n, (1 << 30) - 1).astype(np.uint64) << np.uint64(32) | terms & np.uint64(0xFFFFFFFF)
             key[n < 2] = np.iinfo(np.uint64).max
             deal = np.zeros(batch.num_rows, np.int64)
             some = np.flatnonzero(np.diff(first))
@@ -357,7 +370,7 @@ def _shard(rests: pa.Table, idf: np.ndarray, mean: float, window: int, sequence:
     """The pieces of one shard's documents, and the next free sequence."""
     column = lambda k: rests[k].combine_chunks()
     n, words = rests["n"].to_numpy(), rests["words"].to_numpy()
-    terms, first = _flat(column("terms"), np.uint64)
+    terms, first = _terms(column("terms"))
     often = _flat(column("often"), np.uint32)[0].astype(np.float64)
     length = np.repeat(words / mean, np.diff(first))
     weights = idf[(terms % np.uint64(TERM_SPACE)).astype(np.int64)] * often * (K1 + 1) / (often + K1 * (1 - B + B * length))
