@@ -9,13 +9,13 @@
 3. Overlaps are generated from the lists without all pairs of a large one. First each list's members are compared with one of
    them, and what passes is linked; from then on only members of different components need to meet. Lists of SMALL rows at
    most (SMALL_DIFFERENCES further on) are then compared in full. The members of the larger ones form groups, each with a centre: the shingles that more
-   than half of SAMPLE members have (what follows holds for any set). With D shingles of the centre missing and A others added, two members that share none of
+   than half of its members have. With D shingles of the centre missing and A others added, two members that share none of
    these differences are linked just if (100 D + t A) of both add up to (100 - t) times the centre's size at most (t: the
    threshold in hundredths), and sharing some only brings them closer; so the most central member is linked to
    every member that any such pair can link. All other pairs share differences, as many as the same sum tells, so the differences,
-   rarest first and cut to a prefix, are the next lists. The first lists of one set of copies are much alike and form one
-   group; from then on each large list is a group. A shingle that is added by some is not in the centre, and one that is missing
-   is, so about half of a group at most has the difference, and never all of it: lists shrink from level to level, until all are small.
+   rarest first and cut to a prefix, are the next lists. A shingle that is added by some is not in the centre, and one that is missing
+   is, so at most half of a group has the difference. Lists with one first member share a group for LEVELS levels; from then on each list is a
+   group, so lists halve from level to level until all are small, and none is ever compared in all pairs.
 4. A pair is filtered by size and by the estimate from the union's sketch, then verified on the full sets.
 
 The result is exact but for that probability.
@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.llm.components import components
@@ -39,9 +39,8 @@ from tracewright.llm.textkernels import chunks, rolling, signed, texts_of, words
 SKETCH = 32
 #: Rows of a list of values, and of one of differences, that are compared in full. The latter are few.
 SMALL, SMALL_DIFFERENCES = 32, 256
-#: Parts that the rows of one group are dealt to while they meet its centre.
-PARTS = 16
-SAMPLE = 64
+#: Levels whose lists share groups.
+LEVELS = 4
 _MISS = 1e-7
 
 
@@ -139,10 +138,11 @@ def _lists(reps: DataFrame, percent: int, k: int) -> DataFrame:
     return shared.withColumn("first", first.cast("int")).where("first > 0").select("doc", "n", F.explode(F.slice("shared", F.lit(1), F.col("first"))).alias("x")).select(F.col("x.value").alias("value"), "doc", "n")
 
 
-def _centre(table: pa.Table) -> pa.Table:
-    """The elements that more than half of a group's sample have."""
-    elements, counts = np.unique(np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table["shingles"]]), return_counts=True)
-    return pa.table({"grp": pa.array([table["grp"][0].as_py()]), "centre": pa.array([elements[2 * counts > len(table)]], pa.list_(pa.int64()))})
+def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [np.frombuffer(x.as_py(), np.int64) for x in batch.column(1)]
+        group = np.repeat(batch.column(0).to_numpy(), [len(x) for x in sets])
+        yield pa.RecordBatch.from_arrays([pa.array(group), pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64))], ["grp", "e"])
 
 
 def _differences(percent: int):
@@ -163,30 +163,19 @@ def _differences(percent: int):
     return run
 
 
-def _named(large: DataFrame) -> DataFrame:
-    """(value, grp) of lists: those with one first member share a group, as do those that a member's least group brings together.
-
-    Copies stand in many lists that are nearly the same; so they meet in one group, or few.
-    """
-    first = large.groupBy("value").agg(F.min(F.xxhash64("doc")).alias("f"))
-    least = large.join(first.hint("merge"), "value").groupBy("doc").agg(F.min("f").alias("f"))
-    return large.join(least, "doc").groupBy("value").agg(F.min("f").alias("grp"))
-
-
 def _groups(large: DataFrame, sets: DataFrame, percent: int, level: int) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) of members with the most central one of their group, and the lists of differences that are left."""
-    # A list may hold a large share of the rows: joins on it are merge joins, which adaptive execution splits.
-    named = large.withColumn("grp", F.col("value")) if level else large.join(_named(large).hint("merge"), "value")
+    # Lists with the same first member share a group, so copies of one text meet in few groups. A list may hold a large
+    # share of the rows: the join is a merge join, which adaptive execution splits.
+    first = large.groupBy("value").agg(F.min(F.struct(F.xxhash64("doc").alias("order"), "doc"))["doc"].alias("grp"))
+    named = large.join(first.hint("merge"), "value") if level < LEVELS else large.withColumn("grp", F.col("value"))
     members = named.select("grp", "doc", "n").distinct()
-    members = written(members, "members")
-    # Any set may be the centre. That of a sample of SAMPLE members is near that of all, and leaves no difference to all of them.
-    drawn = members.withColumn("place", F.row_number().over(Window.partitionBy("grp").orderBy(F.xxhash64("doc"), "doc"))).where(F.col("place") <= SAMPLE)
-    centres = drawn.join(sets, "doc").select("grp", "shingles").groupBy("grp").applyInArrow(_centre, "grp long, centre array<long>")
-    met = members.join(sets, "doc").select("grp", "doc", "n", "shingles")
-    # A centre is at most twice as large as a member, and goes to each part of its group.
-    centres = centres.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-    met = met.withColumn("part", F.pmod(F.xxhash64("doc"), F.lit(PARTS)).cast("int"))
-    rows = met.join(centres.hint("merge"), ["grp", "part"], "left").select("grp", "doc", "n", "shingles", "centre").mapInArrow(_differences(percent), "grp long, doc long, n long, far long, most long, differences array<long>")
+    met = written(members, "members").join(sets, "doc").select("grp", "doc", "n", "shingles")
+    size = met.groupBy("grp").agg(F.count("*").alias("size"))
+    counts = met.select("grp", "shingles").mapInArrow(_elements, "grp long, e long").groupBy("grp", "e").agg(F.count("*").alias("c"))
+    centres = counts.join(size, "grp").where("2 * c > size").groupBy("grp").agg(F.collect_list("e").alias("centre"))
+    rows = met.join(centres, "grp", "left").select("grp", "doc", "n", "shingles", "centre").mapInArrow(_differences(percent), "grp long, doc long, n long, far long, most long, differences array<long>")
+    # Rows of a large group are spread again by document before their differences are taken apart.
     rows = written(rows.repartition("doc"), "differences")
     best = rows.groupBy("grp").agg(F.min(F.struct("far", "doc")).alias("best"))
     rows = rows.join(best, "grp").withColumn("inside", F.expr("far + best.far <= most"))
@@ -266,7 +255,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, sketch
     docs needs doc_id (integer) and text; other columns are ignored. Returns doc_id, n_shingles, component_id (the least
     doc_id that the document reaches over links) and kept (doc_id = component_id). A text of fewer words is one shingle;
     null, empty and blank texts have none and link with nothing, so they are kept. Rows with a null doc_id link with nothing:
-    component_id is null and kept true. Repeated rows get equal results; rows that share a doc_id count as one document in links.
+    component_id is null and kept true. An empty table gives an empty result. Repeated rows get equal results; rows that share a doc_id count as one document in links.
     """
     pairs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketches = written(pairs.mapInArrow(_sketches(shingle, sketch), "doc_id long, n_shingles long, print binary, sketch array<long>"), "sketches")
