@@ -66,13 +66,13 @@ def o_join_2_call_results(spark, d):
 
 def _probes(spark, d) -> DataFrame:
     o = at.table(spark, d, "orders")
-    return o.where("o_orderkey % 10 = 0").select(
+    return o.select(
         F.concat(F.lit("u"), (F.col("o_custkey") % 2000).cast("string")).alias("trace_id"), F.col("o_orderkey").alias("line_no"), F.lit("crm.get").alias("name"), (F.col("o_orderstatus") == "F").alias("ok"),
         F.parse_json(F.to_json(F.struct(F.col("o_orderstatus").alias("status")))).alias("output"),
     )
 
 
-_PROBES = "probes AS (SELECT 'u' || (o_custkey % 2000) AS trace_id, o_orderkey AS line_no, o_orderstatus = 'F' AS ok FROM orders WHERE o_orderkey % 10 = 0)"
+_PROBES = "probes AS (SELECT 'u' || (o_custkey % 2000) AS trace_id, o_orderkey AS line_no, o_orderstatus = 'F' AS ok FROM orders)"
 
 
 @query(over("steps traces", f""", {_PROBES}
@@ -661,13 +661,12 @@ def val_7_cell_differences(spark, d):
 
 
 @query("""
-SELECT b.text AS entity, d.doc_id::VARCHAR AS trace_id FROM (SELECT DISTINCT text FROM benchmark WHERE item_id % 2 = 0 AND text NOT IN (SELECT text FROM benchmark WHERE item_id % 2 = 1)) b
-JOIN documents d ON d.doc_id % 2 = 1 AND contains(d.text, b.text)""")
+SELECT b.text AS entity, d.doc_id::VARCHAR AS trace_id FROM (SELECT text, min(item_id % 2) AS split FROM benchmark GROUP BY text HAVING count(DISTINCT item_id % 2) = 1) b
+JOIN documents d ON d.doc_id % 2 <> b.split AND contains(d.text, b.text)""")
 def val_7_split_leaks(spark, d):
     b = at.table(spark, d, "benchmark").select(F.col("text").alias("entity"), F.when(F.col("item_id") % 2 == 0, "train").otherwise("test").alias("split"))
     blobs = at.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("trace_id"), F.when(F.col("doc_id") % 2 == 0, "train").otherwise("test").alias("split"), F.col("text").alias("blob"))
-    own = b.where("split = 'train'").join(b.where("split = 'test'").select("entity"), "entity", "left_anti")
-    return dataset.split_leaks(own, blobs)
+    return dataset.split_leaks(b, blobs)
 
 
 @query(over("steps traces", f"""
