@@ -85,6 +85,7 @@ def test_near_dedup_of_edited_copies(spark, monkeypatch, n, percent):
     """A group of copies with few and many edits, larger than what is compared in full, so that centres are used."""
     monkeypatch.setattr(near_dedup, "SMALL", 4)
     monkeypatch.setattr(near_dedup, "SMALL_DIFFERENCES", 4)
+    monkeypatch.setattr(near_dedup, "LEVELS", 4 if n == 5 else 1)  # further on each list is a group
     rng = np.random.default_rng(7)
     base = [f"b{i}" for i in range(120)]
     found = texts(3, 60)
