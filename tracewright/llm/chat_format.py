@@ -87,6 +87,7 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: Mapping[str,
     missing, linked (both are there), valid (a known name, arguments that fit its schema, no cycle), problems and record (canonical
     JSON: keys ascend, no blanks). Of calls, or results, with one identifier the first stays, by turn and then by content. Rows
     without conv_id or call_id link with nothing and are left out. A result without a call has a record without arguments, not valid.
+    Empty tables give an empty result.
     """
     key = "conv_id IS NOT NULL AND call_id IS NOT NULL"
     first = lambda df, cols: df.where(key).groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", *cols)).alias("x")).select("conv_id", "call_id", "x.*")

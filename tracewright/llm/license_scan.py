@@ -177,6 +177,7 @@ def scan_licenses(docs: DataFrame, templates: Mapping[str, tuple[str, ...]] = TE
     docs needs doc_id and text; other columns are ignored. templates: a list of bounded size that travels with the plan; words are
     runs of ASCII letters and digits and of other characters beyond ASCII, A-Z lower-cased. Of spans that overlap, the one with
     more matched words stays. Null, empty and word-less texts have no spans. Repeated rows get equal results.
+    An empty table gives an empty result.
     """
     pairs = docs.select("doc_id", docs["text"].cast("string").alias("text"))
     return pairs.mapInArrow(_scanned(TemplateIndex(templates), coverage), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, spans array<struct<license: string, coverage: double, start: long, end: long>>")

@@ -54,7 +54,8 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), percent: in
     docs needs doc_id, source and text; other columns are ignored. Returns doc_id, size, source_size, target and taken. A source
     goes in whole as often as it fits its target, then in the order of its keys until the target, rounded down, is met: the
     document at the cut gives its first words. Null and empty texts have size 0 and give nothing. Null is a source of its
-    own. Repeated rows are documents of their own. The key is a hash of the seed and doc_id, so reruns agree.
+    own. Repeated rows are documents of their own. The key is a hash of the seed and doc_id, so reruns agree; rows
+    without a doc_id share one key and are taken by their size. An empty table gives an empty result.
     """
     doc_id = docs.schema["doc_id"].dataType.simpleString()
     sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text")).mapInArrow(_sizes, f"doc_id {doc_id}, source string, size long")
