@@ -12,8 +12,9 @@
    than half of its members have. With D shingles of the centre missing and A others added, two members that share none of
    these differences are linked just if (100 D + t A) of both add up to (100 - t) times the centre's size at most (t: the
    threshold in hundredths), and sharing some only brings them closer; so the most central member is linked to
-   every member that any such pair can link. All other pairs share differences, as many as the same sum tells, so the differences,
-   rarest first and cut to a prefix, are the next lists. A shingle that is added by some is not in the centre, and one that is missing
+   every member that any such pair can link. Components are joined again, and members of the most central one's component need
+   to meet the others only. Pairs of different components share differences, as many as the same sum tells for the nearest of those to be met, so
+   the differences, frequent ones last and cut to a prefix, are the next lists. A shingle that is added by some is not in the centre, and one that is missing
    is, so at most half of a group has the difference. Lists with one first member share a group for LEVELS levels; from then on each list is a
    group, so lists halve from level to level until all are small, and none is ever compared in all pairs.
 4. A pair is filtered by size and by the estimate from the union's sketch, then verified on the full sets.
@@ -146,17 +147,23 @@ def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _differences(percent: int):
-    """For each member: its distance from the centre in hundredths, the most that two linked ones add up to, and the differences."""
+    """For each member: its distance from the centre in hundredths, the most that two linked ones add up to, and the differences.
+
+    Differences that are known to be frequent come last, by frequency; the others come first, by value.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             far, most, differences = [], [], []
-            for x, c in zip(batch.column(3), batch.column(4), strict=True):
-                own, centre = np.frombuffer(x.as_py(), np.uint64), np.array(c.as_py() or [], np.int64).view(np.uint64)
+            for x, c, k in zip(batch.column(3), batch.column(4), batch.column(5), strict=True):
+                own, centre, known = np.frombuffer(x.as_py(), np.uint64), *(np.array(v.as_py() or [], np.int64).view(np.uint64) for v in (c, k))
                 added, missing = np.setdiff1d(own, centre, assume_unique=True), np.setdiff1d(centre, own, assume_unique=True)
                 far.append(100 * len(missing) + percent * len(added))
                 most.append((100 - percent) * len(centre))
-                differences.append(np.concatenate([added, missing]).view(np.int64))
+                both, rank = np.concatenate([added, missing]), np.zeros(len(added) + len(missing), np.int64)
+                _, at, place = np.intersect1d(both, known, assume_unique=True, return_indices=True)
+                rank[at] = place + 1
+                differences.append(both[np.lexsort((both, rank))].view(np.int64))
             columns = [*(batch.column(k) for k in range(3)), pa.array(far, pa.int64()), pa.array(most, pa.int64()), pa.array(differences, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, ["grp", "doc", "n", "far", "most", "differences"])
 
@@ -164,7 +171,7 @@ def _differences(percent: int):
 
 
 def _groups(large: DataFrame, sets: DataFrame, percent: int, level: int) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b) of members with the most central one of their group, and the lists of differences that are left."""
+    """Links (a, b) of members with the most central one of their group, and the members with their differences."""
     # Lists with the same first member share a group, so copies of one text meet in few groups. A list may hold a large
     # share of the rows: the join is a merge join, which adaptive execution splits.
     first = large.groupBy("value").agg(F.min(F.struct(F.xxhash64("doc").alias("order"), "doc"))["doc"].alias("grp"))
@@ -173,24 +180,39 @@ def _groups(large: DataFrame, sets: DataFrame, percent: int, level: int) -> tupl
     met = written(members, "members").join(sets, "doc").select("grp", "doc", "n", "shingles")
     size = met.groupBy("grp").agg(F.count("*").alias("size"))
     counts = met.select("grp", "shingles").mapInArrow(_elements, "grp long, e long").groupBy("grp", "e").agg(F.count("*").alias("c"))
-    centres = counts.join(size, "grp").where("2 * c > size").groupBy("grp").agg(F.collect_list("e").alias("centre"))
-    rows = met.join(centres, "grp", "left").select("grp", "doc", "n", "shingles", "centre").mapInArrow(_differences(percent), "grp long, doc long, n long, far long, most long, differences array<long>")
+    # Fewer than eight times the shingles of an average member stand in an eighth of a group.
+    known = counts.join(size, "grp").where("8 * c > size").groupBy("grp").agg(
+        F.expr("collect_list(e) FILTER (WHERE 2 * c > size)").alias("centre"),
+        F.array_sort(F.collect_list(F.struct(F.expr("least(c, size - c)").alias("d"), "e")))["e"].alias("known"),
+    )
+    rows = met.join(known, "grp", "left").select("grp", "doc", "n", "shingles", "centre", "known").mapInArrow(_differences(percent), "grp long, doc long, n long, far long, most long, differences array<long>")
     # Rows of a large group are spread again by document before their differences are taken apart.
     rows = written(rows.repartition("doc"), "differences")
     best = rows.groupBy("grp").agg(F.min(F.struct("far", "doc")).alias("best"))
-    rows = rows.join(best, "grp").withColumn("inside", F.expr("far + best.far <= most"))
-    star = rows.where(F.col("inside") & (F.col("doc") != F.col("best.doc"))).select(F.least("doc", "best.doc").alias("a"), F.greatest("doc", "best.doc").alias("b")).distinct()
+    star = rows.join(best, "grp").where("far + best.far <= most AND doc != best.doc")
+    return star.select(F.least("doc", "best.doc").alias("a"), F.greatest("doc", "best.doc").alias("b")).distinct(), rows
+
+
+def _next_lists(rows: DataFrame, percent: int) -> DataFrame:
+    """Lists of differences from members (grp, doc, n, far, most, differences, root).
+
+    Members of the component of the most central one need to meet the others only, the nearest of which is known; all of
+    a group's members in one component need not meet. Each list is cut to its prefix before it is taken apart.
+    """
     gain = 100 + percent
-    # Least number of shared differences in any pair of a member inside, and outside, of what the most central one reaches.
-    shared = F.expr(f"greatest(1, CASE WHEN inside THEN ceil((far - best.far + 1) / {gain}) ELSE greatest(ceil((far + best.far - most) / {gain}), ceil((far - most) / 100)) END)")
+    heads = rows.groupBy("grp").agg(F.min(F.struct("far", "doc", "root")).alias("best"))
+    rows = rows.join(heads, "grp").withColumn("inside", F.expr("root = best.root"))
+    others = rows.where("NOT inside").groupBy("grp").agg(F.min("far").alias("nearest"))
+    rows = rows.join(others, "grp")
+    # Least number of shared differences in any pair that still has to meet.
+    shared = F.expr(
+        f"greatest(1, CASE WHEN inside THEN greatest(ceil((far + nearest - most) / {gain}), ceil((nearest - most) / 100))"
+        f" ELSE greatest(ceil((far + best.far - most) / {gain}), ceil((far - most) / 100)) END)"
+    )
     rows = rows.withColumn("nd", F.size("differences").cast("long")).withColumn("keep", (F.col("nd") - shared + 1).cast("int")).where("keep > 0")
-    each = rows.select("grp", "doc", "n", "far", "most", "nd", "inside", "keep", F.explode("differences").alias("e"))
-    often = each.groupBy("grp", "e").agg(F.count("*").alias("c")).where("c > 1")
-    keys = ["grp", "doc", "n", "far", "most", "nd", "inside", "keep"]
-    kept = each.join(often, ["grp", "e"]).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("c", "e"))).alias("x"))
-    kept = kept.withColumn("first", (F.col("keep") - (F.col("nd") - F.size("x"))).cast("int")).where("first > 0")
-    lists = kept.select(*keys[:-1], F.explode(F.slice("x", F.lit(1), F.col("first"))["e"]).alias("e"))
-    return star, lists.select(F.xxhash64("grp", "e").alias("value"), "doc", "n", "far", "most", "nd", "inside")
+    prefixes = rows.select("grp", "doc", "n", "far", "most", "nd", F.slice("differences", F.lit(1), F.greatest("keep", F.lit(0))).alias("differences"))
+    each = prefixes.select("grp", "doc", "n", "far", "most", "nd", F.explode("differences").alias("e"))
+    return each.select(F.xxhash64("grp", "e").alias("value"), "doc", "n", "far", "most", "nd")
 
 
 def link_classes(reps: DataFrame, texts: DataFrame, shingle: int, percent: int, k: int = SKETCH) -> DataFrame:
@@ -202,7 +224,7 @@ def link_classes(reps: DataFrame, texts: DataFrame, shingle: int, percent: int,
 def _linked(reps: DataFrame, texts: DataFrame, shingle: int, percent: int, k: int) -> DataFrame:
     lists = written(_lists(reps, percent, k), "lists")
     lists = lists.join(lists.groupBy("value").agg(F.count("*").alias("c")).where("c > 1").select("value"), "value")
-    lists = lists.withColumns({"far": F.lit(0).cast("long"), "most": F.lit(0).cast("long"), "nd": F.lit(1).cast("long"), "inside": F.lit(False)})
+    lists = lists.withColumns({"far": F.lit(0).cast("long"), "most": F.lit(0).cast("long"), "nd": F.lit(1).cast("long")})
     lists = written(lists, "lists")
     # The documents in lists grow with the corpus: they are joined in a shuffle at every size, never broadcast.
     named = lists.select("doc").distinct().hint("merge")
@@ -236,16 +258,16 @@ def _linked(reps: DataFrame, texts: DataFrame, shingle: int, percent: int, k: in
             return roots
         few = F.col("c") <= (SMALL_DIFFERENCES if level else SMALL)
         small = now.where(few)
-        names = {c: c + "2" for c in ("doc", "n", "far", "nd", "inside", "root")}
+        names = {c: c + "2" for c in ("doc", "n", "far", "nd", "root")}
         other = small.select("value", *names).withColumnsRenamed(names)
-        may = close & (F.col("doc") < F.col("doc2")) & (F.col("root") != F.col("root2")) & ~(F.col("inside") & F.col("inside2")) & (F.col("far") + F.col("far2") - F.col("most") <= (100 + percent) * F.least("nd", "nd2"))
+        may = close & (F.col("doc") < F.col("doc2")) & (F.col("root") != F.col("root2")) & (F.col("far") + F.col("far2") - F.col("most") <= (100 + percent) * F.least("nd", "nd2"))
         links = verified(small.join(other, "value").where(may).select("doc", "doc2"))
         large = now.where(~few)
         if large.isEmpty():
             return roots if links.isEmpty() else joined(roots, links)
-        star, lists = _groups(large.select("value", "doc", "n"), sets, percent, level)
+        star, members = _groups(large.select("value", "doc", "n"), sets, percent, level)
         roots = joined(roots, links.unionByName(star))
-        lists = written(lists, "lists")
+        lists = written(_next_lists(rooted(members, roots), percent), "lists")
         level += 1
 
 
