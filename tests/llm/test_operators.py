@@ -448,11 +448,33 @@ def test_tool_calls(spark):
     got = chat_format.link_tool_calls(spark.createDataFrame(calls, "conv_id long, call_id string, turn long, name string, arguments string, after array<string>"), spark.createDataFrame(results, "conv_id long, call_id string, turn long, content string"), schemas)
     assert {(r.conv_id, r.call_id): (r.level, r.missing, r.linked, r.problems) for r in got.collect()} == {
         (1, "a"): (1, 0, True, ""), (1, "b"): (0, 0, False, "x:minimum"), (1, "c"): (2, 1, False, "name"),
-        (2, "p"): (None, 0, False, "x:type,cycle"), (2, "q"): (None, 0, False, "additionalProperties,cycle"), (3, "k"): (0, 0, True, "object,x:required"), (3, "l"): (0, 0, False, "mode:enum"),
+        (2, "p"): (None, 0, False, "x:type,cycle"), (2, "q"): (None, 0, False, "additionalProperties,cycle"), (3, "k"): (0, 0, True, "object,x:required"), (3, "l"): (1, 0, False, "mode:enum"),
     }
     assert got.where("call_id = 'a'").first().record == '{"arguments":{"mode":"a","x":1},"content":"ok","id":"a","name":"f","turn":5}'
 
 
+def test_levels_of_calls(spark):
+    """Chains, trees and cycles of one wait for each call, and graphs with several, against longest paths taken one by one."""
+    rng = np.random.default_rng(8)
+    waits: dict[tuple[int, str], list[str]] = {}
+    for conv, (n, most) in enumerate([(1, 1), (2, 1), (40, 1), (63, 1), (64, 1), (40, 3), (12, 4)]):
+        for i in range(n):
+            earlier = [str(i - 1)] if n >= 63 else [str(x) for x in rng.integers(0, i, rng.integers(0, most + 1))] if i else []
+            waits[conv, str(i)] = [*earlier, "gone"] if i % 9 == 4 else earlier
+    waits |= {(9, "a"): ["b"], (9, "b"): ["a"], (9, "c"): ["b"], (9, "d"): [], (10, "a"): ["a", "b"], (10, "b"): [], (11, "x"): ["y"], (11, "y"): ["z"], (11, "z"): ["z"]}
+
+    def longest(conv, call, seen=()):
+        if call in seen:
+            return None
+        below = [longest(conv, p, (*seen, call)) for p in waits[conv, call] if (conv, p) in waits]
+        return None if None in below else max((b + 1 for b in below), default=0)
+
+    rows = [(conv, call, int(rng.integers(0, 9)), after) for (conv, call), after in waits.items()]
+    got = chat_format.levels(spark.createDataFrame(rows, "conv_id long, call_id string, turn long, after array<string>")).collect()
+    assert {(r.conv_id, r.call_id): r.level for r in got} == {key: longest(*key) for key in waits}
+    assert len(got) == len(waits)
+
+
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()

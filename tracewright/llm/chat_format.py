@@ -44,39 +44,58 @@ def _path(name: str) -> str:
     return f"$['{name}']"
 
 
+def _peeled(nodes: DataFrame, waits: DataFrame) -> DataFrame:
+    """conv_id, call_id, level of nodes (conv_id, call_id), a round for each level; those on a cycle, or behind one, are left out."""
+    nodes, waits, level, turn = written(nodes, "nodes"), written(waits, "waits"), None, 0
+    while True:
+        free = written(nodes.join(waits, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(turn).cast("long")), "free")
+        level = free if level is None else level.unionByName(free)
+        if free.isEmpty():
+            return level
+        nodes = written(nodes.join(free, ["conv_id", "call_id"], "left_anti"), "nodes")
+        waits = written(waits.join(free.select("conv_id", F.col("call_id").alias("parent")), ["conv_id", "parent"], "left_anti").select("conv_id", "call_id", "parent"), "waits")
+        turn += 1
+
+
+def _doubled(nodes: DataFrame, waits: DataFrame) -> DataFrame:
+    """The same where each node waits for one call at most: every round doubles the stretch of the chain that a node has seen.
+
+    A conversation of n calls takes log2(n) rounds; who still waits after them is on a cycle, or behind one.
+    """
+    state = nodes.join(waits.withColumnRenamed("parent", "up"), ["conv_id", "call_id"], "left").withColumn("level", F.col("up").isNotNull().cast("long"))
+    state = written(state.select("conv_id", "call_id", "up", "level"), "chains")
+    longest = state.groupBy("conv_id").agg(F.count("*").alias("c")).agg(F.max("c")).first()[0] or 0
+    for _ in range(longest.bit_length()):
+        waiting = state.where("up IS NOT NULL")
+        if waiting.isEmpty():
+            break
+        # Nodes without a wait stay out of the join: their null would bring a conversation's rows into one task.
+        ups = state.select("conv_id", F.col("call_id").alias("up"), F.col("up").alias("next"), F.col("level").alias("more"))
+        moved = waiting.join(ups, ["conv_id", "up"]).select("conv_id", "call_id", F.col("next").alias("up"), (F.col("level") + F.col("more")).alias("level"))
+        state = written(state.where("up IS NULL").unionByName(moved), "chains")
+    return state.where("up IS NULL").select("conv_id", "call_id", "level")
+
+
 def levels(calls: DataFrame) -> DataFrame:
     """conv_id, call_id, missing (ids waited for that aren't there) and level of calls (conv_id, call_id, turn, after).
 
-    Where all calls of a conversation wait for earlier turns only, turns are a topological order and the level is 0. The
-    other conversations are peeled in rounds: the level is the length of the longest chain that the call waits for; on a
-    cycle, or behind one, it is null.
+    The level is the length of the longest chain of calls that the call waits for, whatever their turns; on a cycle, or behind one,
+    it is null. Conversations whose calls wait for one call each at most are solved by doubling, the others peeled level by level.
     """
-    edges = calls.select("conv_id", "call_id", "turn", F.explode("after").alias("parent")).where("parent IS NOT NULL").distinct()
-    there = calls.select("conv_id", F.col("call_id").alias("parent"), F.col("turn").alias("parent_turn"), F.lit(True).alias("there"))
+    edges = calls.select("conv_id", "call_id", F.explode("after").alias("parent")).where("parent IS NOT NULL").distinct()
+    there = calls.select("conv_id", F.col("call_id").alias("parent"), F.lit(True).alias("there"))
     edges = edges.join(there, ["conv_id", "parent"], "left")
     missing = edges.where("there IS NULL").groupBy("conv_id", "call_id").agg(F.count("*").alias("missing"))
-    unruly = edges.where("there AND parent_turn >= turn").select("conv_id").distinct()
-    unruly = written(unruly, "unruly")
-    level = None
-    if not unruly.isEmpty():
-        nodes = written(calls.join(unruly, "conv_id", "left_semi").select("conv_id", "call_id"), "nodes")
-        waits = written(edges.where("there").join(unruly, "conv_id", "left_semi").select("conv_id", "call_id", "parent"), "waits")
-        turn = 0
-        while True:
-            free = written(nodes.join(waits, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(turn).cast("long")), "free")
-            if free.isEmpty():
-                break
-            level = free if level is None else level.unionByName(free)
-            nodes = written(nodes.join(free, ["conv_id", "call_id"], "left_anti"), "nodes")
-            waits = written(waits.join(free.select("conv_id", F.col("call_id").alias("parent")), ["conv_id", "parent"], "left_anti").select("conv_id", "call_id", "parent"), "waits")
-            turn += 1
-    out = calls.select("conv_id", "call_id").join(missing, ["conv_id", "call_id"], "left")
-    out = out.join(unruly.withColumn("unruly", F.lit(True)), "conv_id", "left")
-    if level is None:
-        out = out.withColumn("level", F.lit(None).cast("long"))
+    waits = written(edges.where("there").select("conv_id", "call_id", "parent"), "waits")
+    branched = written(waits.groupBy("conv_id", "call_id").agg(F.count("*").alias("c")).where("c > 1").select("conv_id").distinct(), "branched")
+    nodes = calls.select("conv_id", "call_id")
+    if branched.isEmpty():
+        level = _doubled(nodes, waits)
     else:
-        out = out.join(level, ["conv_id", "call_id"], "left")
-    return out.select("conv_id", "call_id", F.coalesce("missing", F.lit(0)).cast("long").alias("missing"), F.when(F.col("unruly").isNull(), F.lit(0).cast("long")).otherwise(F.col("level")).alias("level"))
+        parts = [(nodes.join(branched, "conv_id", how), waits.join(branched, "conv_id", how)) for how in ("left_anti", "left_semi")]
+        level = _doubled(*parts[0]).unionByName(_peeled(*parts[1]))
+    out = nodes.join(missing, ["conv_id", "call_id"], "left").join(level, ["conv_id", "call_id"], "left")
+    return out.select("conv_id", "call_id", F.coalesce("missing", F.lit(0)).cast("long").alias("missing"), "level")
 
 
 def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: Mapping[str, Mapping]) -> DataFrame:

@@ -114,10 +114,14 @@ FROM judged j LEFT JOIN fences f ON j.lang IS NOT DISTINCT FROM f.lang AND j.sou
 """
 
 OP8_SQL = r"""
-WITH calls AS (
+WITH RECURSIVE calls AS (
   SELECT conv_id, turn::VARCHAR AS call_id, turn, CASE WHEN role = 'user' THEN 'reply' ELSE 'configure' END AS name, text, CASE WHEN turn >= 2 THEN (turn - 2)::VARCHAR END AS parent FROM conversations WHERE role <> 'assistant'
-), results AS (SELECT conv_id, (turn - 1)::VARCHAR AS call_id, turn, text AS content FROM conversations WHERE role = 'assistant')
-SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id, coalesce(c.turn, r.turn) AS turn, CASE WHEN c.conv_id IS NOT NULL THEN 0::BIGINT END AS level,
+), results AS (SELECT conv_id, (turn - 1)::VARCHAR AS call_id, turn, text AS content FROM conversations WHERE role = 'assistant'),
+chains AS (
+  SELECT c.conv_id, c.call_id, 0::BIGINT AS level FROM calls c LEFT JOIN calls p ON p.conv_id = c.conv_id AND p.call_id = c.parent WHERE p.conv_id IS NULL
+  UNION ALL SELECT c.conv_id, c.call_id, h.level + 1 FROM chains h JOIN calls c ON c.conv_id = h.conv_id AND c.parent = h.call_id
+)
+SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id, coalesce(c.turn, r.turn) AS turn, h.level,
   CASE WHEN c.parent IS NOT NULL AND NOT EXISTS (SELECT 1 FROM calls p WHERE p.conv_id = c.conv_id AND p.call_id = c.parent) THEN 1 ELSE 0 END::BIGINT AS missing,
   c.conv_id IS NOT NULL AND r.conv_id IS NOT NULL AS linked, c.conv_id IS NOT NULL AND (c.name = 'configure' OR length(c.text) > 0) AS valid,
   CASE WHEN c.conv_id IS NULL THEN 'call' WHEN c.name = 'reply' AND length(c.text) = 0 THEN 'prompt:minLength' ELSE '' END AS problems,
@@ -125,4 +129,5 @@ SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id)
     || CASE WHEN r.conv_id IS NULL THEN '' ELSE '"content":' || to_json(r.content)::VARCHAR || ',' END || '"id":"' || coalesce(c.call_id, r.call_id) || '"'
     || CASE WHEN c.conv_id IS NULL THEN '' ELSE ',"name":"' || c.name || '","turn":' || c.turn END || '}' AS record
 FROM calls c FULL OUTER JOIN results r ON c.conv_id = r.conv_id AND c.call_id = r.call_id
+LEFT JOIN chains h ON h.conv_id = c.conv_id AND h.call_id = c.call_id
 """
