@@ -56,6 +56,15 @@ def test_errors_have_lines_and_paths(load):
         load([good, "", "{broken"], strict=True)
 
 
+def test_errors_of_a_folder_name_the_file(spark, tmp_path):
+    for name, lines in (("a", [trace("x", CRM)]), ("b", [trace("x", CRM), trace("y", CRM)])):
+        (tmp_path / f"{name}.jsonl").write_text("\n".join(map(json.dumps, lines)))
+    loaded = load_traces(spark, str(tmp_path))
+    (error,) = loaded.errors.collect()
+    assert error.file.endswith("/b.jsonl") and (error.line_no, error.json_path) == (1, "$.trace_id") and error.message.endswith("/a.jsonl")
+    assert sorted(r.trace_id for r in loaded.traces().collect()) == ["x", "y"]
+
+
 def test_empty_file(load):
     loaded = load([""])
     assert loaded.traces().count() == 0 and loaded.errors.count() == 0 and loaded.steps().count() == 0

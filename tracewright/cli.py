@@ -47,9 +47,9 @@ def check(spark: SparkSession, args: argparse.Namespace) -> int:
 
 
 def report_errors(errors, rows: int) -> int:
-    n = errors.select("line_no").distinct().count()
-    for e in errors.orderBy("line_no", "json_path", "message").limit(rows).collect():
-        print(f"line {e.line_no}: {e.json_path}: {e.message}", file=sys.stderr)
+    n = errors.select("file", "line_no").distinct().count()
+    for e in errors.orderBy("file", "line_no", "json_path", "message").limit(rows).collect():
+        print(f"{e.file}, line {e.line_no}: {e.json_path}: {e.message}", file=sys.stderr)
     return n
 
 

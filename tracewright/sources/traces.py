@@ -117,7 +117,7 @@ def line_errors(v: Column) -> Column:
 
 @dataclass(frozen=True)
 class Loaded:
-    """The valid lines (line_no, trace_id, v VARIANT) and the errors (line_no, json_path, message)."""
+    """The valid lines (line_no, trace_id, v VARIANT) and the errors (line_no, json_path, message), both with file where lines have it."""
 
     lines: DataFrame
     errors: DataFrame
@@ -144,37 +144,40 @@ class Loaded:
 
 
 def validate(lines: DataFrame) -> Loaded:
-    """Check (line_no, value) lines: JSON, form, then ids that repeat and step numbers that don't ascend.
+    """Check (line_no, value) lines, with or without file: JSON, form, then ids that repeat and step numbers that don't ascend.
 
-    Blank lines are passed over. Only lines of a clean form register their id; the later of two equal ids is the error.
+    Blank lines are passed over. Only lines of a clean form register their id; the later of two equal ids, by file and line, is the error:
+    steps and claims are joined by id, so it has to be unique in all files that are loaded together.
     """
+    place = ["file", "line_no"] if "file" in lines.columns else ["line_no"]
     parsed = lines.where(F.trim("value") != "").withColumn("v", F.try_parse_json("value"))
     form = F.when(F.col("v").isNull(), F.array(F.struct(F.lit("$").alias("json_path"), F.lit("invalid JSON").alias("message")))).otherwise(line_errors(F.col("v")))
     formed = parsed.withColumn("errors", form).withColumn("trace_id", F.when(F.size("errors") == 0, _at(F.col("v"), "$.trace_id", "string")))
-    first = F.when(F.col("trace_id").isNotNull(), F.min("line_no").over(Window.partitionBy("trace_id")))
+    first = F.when(F.col("trace_id").isNotNull(), F.min(F.struct(*place)).over(Window.partitionBy("trace_id")))
     places = F.transform(_at(F.col("v"), "$.steps", "array<variant>"), lambda s: _at(s, "$.i", "bigint"))
     steady = F.forall(F.sequence(F.lit(1), F.size("places") - 1), lambda k: F.get("places", k) > F.get("places", k - 1))
+    other = [F.when(F.col("first.file") != F.col("file"), F.concat(F.lit(" of "), F.col("first.file"))).otherwise("")] if len(place) == 2 else []
     # Rows without an id don't meet in one window.
     with_id = formed.where("trace_id IS NOT NULL").withColumn("first", first).withColumn("places", places)
     late = F.filter(
         F.array(
-            F.when(F.col("first") < F.col("line_no"), F.struct(F.lit("$.trace_id").alias("json_path"), F.concat(F.lit("trace_id is that of line "), F.col("first").cast("string")).alias("message"))),
+            F.when(F.col("first") < F.struct(*place), F.struct(F.lit("$.trace_id").alias("json_path"), F.concat(F.lit("trace_id is that of line "), F.col("first.line_no").cast("string"), *other).alias("message"))),
             F.when((F.size("places") > 1) & ~steady, F.struct(F.lit("$.steps").alias("json_path"), F.lit("i doesn't ascend").alias("message"))),
         ),
         lambda e: e.isNotNull(),
     )
-    checked = with_id.withColumn("errors", late).select("line_no", "trace_id", "v", "errors")
-    errors = formed.where("trace_id IS NULL").select("line_no", F.explode("errors").alias("e")).unionByName(checked.select("line_no", F.explode("errors").alias("e")))
-    return Loaded(checked.where(F.size("errors") == 0).select("line_no", "trace_id", "v"), errors.select("line_no", "e.json_path", "e.message"))
+    checked = with_id.withColumn("errors", late).select(*place, "trace_id", "v", "errors")
+    errors = formed.where("trace_id IS NULL").select(*place, F.explode("errors").alias("e")).unionByName(checked.select(*place, F.explode("errors").alias("e")))
+    return Loaded(checked.where(F.size("errors") == 0).select(*place, "trace_id", "v"), errors.select(*place, "e.json_path", "e.message"))
 
 
 def load_traces(spark: SparkSession, path: str, strict: bool = False) -> Loaded:
     """Read and check a file of traces; strict: the first invalid line is raised."""
     loaded = validate(read_lines(spark, path))
     if strict:
-        first = loaded.errors.orderBy("line_no", "json_path", "message").first()
+        first = loaded.errors.orderBy("file", "line_no", "json_path", "message").first()
         if first:
-            raise TraceLineError(f"line {first.line_no}: {first.json_path}: {first.message}")
+            raise TraceLineError(f"{first.file}, line {first.line_no}: {first.json_path}: {first.message}")
     return loaded
 
 
