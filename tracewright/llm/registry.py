@@ -8,7 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import chat_format, license_scan, mixing, near_dedup, packing, quality_classifier, quality_rules, secret_scan, sql, substring_dedup, top_k
+from tracewright.llm import (
+    chat_format, decontamination, license_scan, mixing, near_dedup, packing, quality_classifier, quality_rules, secret_scan, spelling, sql, substring_dedup, token_alignment, top_k,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -68,10 +70,23 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align_tokens(_table(spark, sf_dir, "documents"), tokenizer_folder())
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("spans", "items")
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     found = (
         op1_substring_dedup, op2_mixing, op3_secret_scan, op4_packing, op5_top_k,
         op6_quality_classifier, op7_quality_rules, op8_chat_format, op9_license_scan, op10_near_dedup,
+        op11_token_alignment, op12_decontamination, op13_spelling,
     )
     return {f.__name__: f for f in found}
 
@@ -84,4 +99,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_quality_rules": sql.OP7_SQL,
         "op8_chat_format": sql.OP8_SQL,
         "op10_near_dedup": sql.OP10_SQL,
+        "op12_decontamination": sql.OP12_SQL,
+        "op13_spelling": sql.OP13_SQL,
     }
