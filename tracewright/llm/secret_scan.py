@@ -31,7 +31,7 @@ ALLOWED = (
     r"^[A-Za-z]+$",
     r"^[0-9]+$",
     r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
-    r"^[/_-]?([A-Za-z]+[/_-]+)+[A-Za-z]*$",
+    r"^[/_-]?[A-Za-z]+[/_-][A-Za-z/_-]*$",  # no repeated group: Java's regex would take a frame of the stack for each repetition
 )
 #: Words that mark a placeholder, in either case: they are cut out of a candidate, and no window touches them.
 PLACEHOLDERS = ("example", "placeholder", "changeme", "xxxx")

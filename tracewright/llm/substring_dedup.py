@@ -76,7 +76,7 @@ def hash_text(text: bytes) -> int:
 
 
 def _anchors(window: int, placed: bool):
-    """(hash, doc_id[, place]), once for each hash of a document."""
+    """(hash, doc_id, place), or (hash, text_id), once for each hash of a document. The first column holds doc_id or text_id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,7 +91,7 @@ def _anchors(window: int, placed: bool):
                 columns = [pa.array(signed(p.anchor_hash[order])), pa.array(ids[i:j][p.anchor_doc[order]])]
                 if placed:
                     columns.append(pa.array(_place(p, texts[i:j])[order]))
-                yield pa.RecordBatch.from_arrays(columns, ["hash", "doc_id", "place"][: len(columns)])
+                yield pa.RecordBatch.from_arrays(columns, ["hash", "doc_id", "place"] if placed else ["hash", "text_id"])
 
     return run
 
@@ -130,12 +130,12 @@ class _Factored:
 
 
 def _boundary_windows(window: int):
-    """(hash, print, doc_id, asks): windows to look up, and those at first occurrences that may answer."""
+    """(hash, print, doc_id, text_id, asks): windows to look up, and those at first occurrences that may answer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(pc.is_valid(batch.column(2)))
-            ids, texts, hits = batch.column(0).to_numpy(zero_copy_only=False), texts_of(batch.column(1)), batch.column(2)
+            ids, texts, hits, rows = batch.column(0).to_numpy(zero_copy_only=False), texts_of(batch.column(1)), batch.column(2), batch.column(3).to_numpy(zero_copy_only=False)
             for i, j in chunks(texts):
                 f = _Factored(texts[i:j], ids[i:j], hits.slice(i, j - i), window)
                 p = f.parsed
@@ -144,8 +144,8 @@ def _boundary_windows(window: int):
                 _, once = np.unique(mix(prints + mix(p.doc[which].astype(np.uint64))), return_index=True)
                 which, prints = which[once], prints[once]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(p.anchor_hash[p.of_window[which]])), pa.array(signed(prints)), pa.array(ids[i:j][p.doc[which]]), pa.array(f.copied[p.of_window[which]])],
-                    ["hash", "print", "doc_id", "asks"],
+                    [pa.array(signed(p.anchor_hash[p.of_window[which]])), pa.array(signed(prints)), pa.array(ids[i:j][p.doc[which]]), pa.array(rows[i:j][p.doc[which]]), pa.array(f.copied[p.of_window[which]])],
+                    ["hash", "print", "doc_id", "text_id", "asks"],
                 )
 
     return run
@@ -207,29 +207,30 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     with a null doc_id neither remove nor lose words. Equal rows, and different texts with one doc_id, are documents of
     their own: as no id is smaller than the other's, they don't remove each other's words. An empty table gives an empty result.
     """
-    pairs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    pairs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_id", F.xxhash64("doc_id", "text"))
     known = pairs.where("doc_id IS NOT NULL AND text IS NOT NULL")
     index = (
-        known.mapInArrow(_anchors(window, True), "hash long, doc_id long, place long")
+        known.select("doc_id", "text").mapInArrow(_anchors(window, True), "hash long, doc_id long, place long")
         .groupBy("hash")
         .agg(F.min(F.struct("doc_id", "place")).alias("least"), F.max("doc_id").alias("most"))
         .where("least.doc_id < most")
         .select("hash", F.col("least.doc_id").alias("source"), F.col("least.place").alias("place"))
     )
+    # What a text has found is gathered once for each id and text, however many rows repeat them.
     hits = (
-        known.mapInArrow(_anchors(window, False), "hash long, doc_id long")
+        known.select("text_id", "text").mapInArrow(_anchors(window, False), "hash long, text_id long")
         .join(index, "hash")
-        .groupBy("doc_id")
-        .agg(F.collect_list(F.struct("hash", "source", "place")).alias("hits"))
+        .groupBy("text_id")
+        .agg(F.collect_set(F.struct("hash", "source", "place")).alias("hits"))
     )
     hits = written(hits, "anchor-hits")
     # An outer join here too, so that both uses of the texts share one exchange; rows without hits are skipped in the task.
-    windows = pairs.join(hits, "doc_id", "left").select("doc_id", "text", "hits").mapInArrow(_boundary_windows(window), "hash long, print long, doc_id long, asks boolean")
+    joined = pairs.join(hits, "text_id", "left")
+    windows = joined.select("doc_id", "text", "hits", "text_id").mapInArrow(_boundary_windows(window), "hash long, print long, doc_id long, text_id long, asks boolean")
     first = windows.groupBy("hash", "print").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("most")).where("source < most").select("hash", "print", "source")
-    found = windows.where("asks").join(first, ["hash", "print"]).where("source < doc_id").groupBy("doc_id").agg(F.collect_list("print").alias("prints"))
+    found = windows.where("asks").join(first, ["hash", "print"]).where("source < doc_id").groupBy("text_id").agg(F.collect_set("print").alias("prints"))
     return (
-        pairs.join(hits, "doc_id", "left")
-        .join(found, "doc_id", "left")
+        joined.join(found, "text_id", "left")
         .select("doc_id", "text", "hits", "prints")
         .mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string, spans array<struct<start: long, end: long>>")
     )
