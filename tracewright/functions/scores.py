@@ -82,11 +82,3 @@ def reservation_usd(chars: Column, max_tokens: Column, price_in: Column, price_o
 
 def actual_usd(reported: Column, tokens_in: Column, tokens_out: Column, price_in: Column, price_out: Column) -> Column:
     return F.coalesce(reported, (tokens_in * price_in + tokens_out * price_out) / 1e6)
-
-
-def admitted(amounts: Column, cap: Column) -> Column:
-    """In order, whether each amount of an array fits under the cap with those admitted before; refused ones use nothing up."""
-    start = F.struct(F.lit(0.0).alias("spent"), F.array().cast("array<boolean>").alias("out"))
-    fits = lambda a, x: a["spent"] + x <= cap
-    step = lambda a, x: F.struct(F.when(fits(a, x), a["spent"] + x).otherwise(a["spent"]).alias("spent"), F.concat(a["out"], F.array(fits(a, x))).alias("out"))
-    return F.aggregate(amounts, start, step, lambda a: a["out"])

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.functions.scores import actual_usd, admitted, reservation_usd
+from tracewright.functions.scores import actual_usd, reservation_usd
+from tracewright.operators.budget import admit
 
 
 def prices(models: DataFrame, listing: DataFrame, overrides: DataFrame) -> DataFrame:
@@ -22,17 +23,6 @@ def reservation_plan(calls: DataFrame) -> DataFrame:
     return worst.rollup("run").agg(F.count("*").alias("n_calls"), F.sum("usd").alias("reserved_usd"))
 
 
-def admit(requests: DataFrame, cap: float) -> DataFrame:
-    """run, seq, amount and admitted of requests, in the order of seq within a run.
-
-    A request that doesn't fit uses nothing up, so a later, smaller one may pass: a fold, not a running sum. A run's requests
-    are one budget's and are folded in one row.
-    """
-    folded = requests.groupBy("run").agg(F.array_sort(F.collect_list(F.struct("seq", "amount"))).alias("items"))
-    flags = folded.withColumn("flags", admitted(F.transform("items", lambda x: x["amount"].cast("double")), F.lit(cap)))
-    return flags.select("run", F.explode(F.arrays_zip("items", "flags")).alias("x")).select("run", "x.items.seq", "x.items.amount", F.col("x.flags").alias("admitted"))
-
-
 def ledger_summary(ledger: DataFrame) -> DataFrame:
     """calls, cached calls, spent and refused of each run."""
     return ledger.groupBy("run_id").agg(

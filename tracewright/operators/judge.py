@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.functions.values import kind, text
+from tracewright.operators.transport import Policy, Send, call_all
+from tracewright.sources.folders import pinned
+from tracewright.sources.judge_cache import JudgeCache, cache_key
 
 # What a judge may answer.
 FAILURE_KINDS = ("none", "phantom_action", "error_ignored", "wrong_target", "wrong_value", "not_persisted", "partial_completion", "cannot_tell")
@@ -42,7 +44,7 @@ def requests(traces: DataFrame, steps: DataFrame, claims: DataFrame, model: str,
     body = F.concat_ws("\n", F.lit("INSTRUCTION"), "instruction", F.lit("STEPS"), "steps_text", F.lit("CLAIMS"), "claims_text", F.lit("FINAL MESSAGE"), "final_text")
     request = F.to_json(F.struct(F.lit(max_tokens).alias("max_tokens"), F.array(F.struct(F.lit(prompt).alias("content"), F.lit("system").alias("role")), F.struct(body.alias("content"), F.lit("user").alias("role"))).alias("messages"), F.lit(model).alias("model"), F.lit(0.0).alias("temperature")))
     out = joined.select("trace_id", request.alias("request"))
-    return out.select("trace_id", "request", F.sha2("request", 256).alias("request_sha256"), F.sha2(F.concat_ws("\n", F.lit(model), F.lit(str(version)), "request"), 256).alias("cache_key"))
+    return out.select("trace_id", "request", F.sha2("request", 256).alias("request_sha256"), cache_key(F.lit(model), F.lit(version), F.col("request")).alias("cache_key"))
 
 
 def parse_judgments(answers: DataFrame, valid_steps: DataFrame) -> DataFrame:
@@ -79,30 +81,17 @@ def parse_judgments(answers: DataFrame, valid_steps: DataFrame) -> DataFrame:
     )
 
 
-def ask(requests: DataFrame, cache: DataFrame, transport: Callable[[str], str], attempts: int = 3) -> tuple[DataFrame, DataFrame]:
-    """Answers (trace_id, cache_key, content, cached, failure) and the new rows for the cache (cache_key, content).
+def ask(requests: DataFrame, cache: JudgeCache, connect: Callable[[], Send], policy: Policy = Policy(), real: bool = True) -> DataFrame:
+    """Answers (trace_id, cache_key, content, usage, failure, attempts, latency_ms, cached) to requests (trace_id, request, cache_key); new ones are in the cache then.
 
-    Cached requests are joined away before any call. transport maps a request to an answer in a task and raises on failure;
-    it is tried `attempts` times, and what then fails is an answer without content.
+    Cached requests are joined away before any call, and equal requests are asked once. What fails is an answer without content, which isn't cached.
+    The answers are a table in the shared folder: reading them again asks nobody.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out, failures = [], []
-            for request in batch.column(2).to_pylist():
-                content = failure = None
-                for _ in range(attempts):
-                    try:
-                        content, failure = transport(request), None
-                        break
-                    except Exception as e:
-                        failure = getattr(e, "reason", "network")
-                out.append(content)
-                failures.append(failure)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array(failures, pa.string())], ["trace_id", "cache_key", "content", "failure"])
-
-    hits = requests.join(cache.select("cache_key", "content"), "cache_key").select("trace_id", "cache_key", "content", F.lit(True).alias("cached"), F.lit(None).cast("string").alias("failure"))
-    misses = requests.join(cache.select("cache_key"), "cache_key", "left_anti").select("trace_id", "cache_key", "request")
-    asked = misses.mapInArrow(run, "trace_id string, cache_key string, content string, failure string")
-    new = asked.select("trace_id", "cache_key", "content", F.lit(False).alias("cached"), "failure")
-    return hits.unionByName(new), asked.where("content IS NOT NULL").select("cache_key", "content").dropDuplicates(["cache_key"])
+    known = cache.read()
+    misses = requests.join(known.select("cache_key"), "cache_key", "left_anti").groupBy("cache_key").agg(F.min("request").alias("request"))
+    asked = pinned(call_all(misses.repartition("cache_key"), connect, policy, real), "answers")
+    hits = requests.select("trace_id", "cache_key").join(known, "cache_key").select("trace_id", "cache_key", "content", "usage", F.lit(None).cast("string").alias("failure"), F.lit(0).alias("attempts"), F.lit(0.0).alias("latency_ms"), F.lit(True).alias("cached"))
+    new = requests.select("trace_id", "cache_key").join(asked, "cache_key").select("trace_id", "cache_key", "content", "usage", "failure", "attempts", "latency_ms", F.lit(False).alias("cached"))
+    answers = pinned(hits.unionByName(new), "judged")
+    cache.merge(asked)
+    return answers

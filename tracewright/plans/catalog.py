@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.functions.scores import LogisticModel, confidence, gate, platt, reservation_usd
@@ -14,8 +15,12 @@ from tracewright.operators import costs, dataset, detectors, hypotheses, judge,
 from tracewright.operators import steps as step_ops
 from tracewright.plans import projection as at
 from tracewright.plans.sql import auroc_sql, over
+from tracewright.operators.ranks import ranked
+from tracewright.operators.transport import Reply
 from tracewright.sources import generator
 from tracewright.sources import traces as trace_source
+from tracewright.sources.folders import scratch_path
+from tracewright.sources.judge_cache import JudgeCache
 from tracewright.sources.packs import RulePack
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,10 +39,14 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    from tracewright.plans import operations  # noqa: F401  # registers its own
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from tracewright.plans import operations  # noqa: F401
+
     return dict(_SQL)
 
 
@@ -328,9 +337,8 @@ def o_agg_7_overview(spark, d):
 
 @query(_RESULTS + "SELECT trace_id, round(abs(p_success - 0.5), 6) AS distance, row_number() OVER (ORDER BY abs(p_success - 0.5), trace_id) AS place FROM r WHERE verdict = 'unverifiable'")
 def o_srt_2_review_queue(spark, d):
-    q = detectors.review_queue(_results(spark, d))
-    # The place in the queue is part of this report; the queue itself is a range sort.
-    return q.select("trace_id", _r(F.col("distance"), "distance"), F.row_number().over(Window.orderBy("distance", "trace_id")).cast("long").alias("place"))
+    q = ranked(detectors.review_queue(_results(spark, d)), [F.col("distance"), F.col("trace_id")], name="place")
+    return q.select("trace_id", _r(F.col("distance"), "distance"), (F.col("place") + 1).alias("place"))
 
 
 @query(over("steps traces", """
@@ -604,16 +612,18 @@ def o_prj_8_requests(spark, d):
 
 @query()
 def det_5_judge(spark, d):
-    """The judge over recorded answers and, for requests that aren't cached, a transport without a network."""
+    """The judge over rendered traces: answers that are in the cache, and a server without a network for the rest."""
     requests = judge.requests(at.traces(spark, d), at.steps(spark, d), at.claims(spark, d), "judge-model", "Audit the claims.")
-    cache = requests.where(F.substring("cache_key", 1, 1).isin(list("01234567"))).select("cache_key", F.lit('{"p_success": 0.9, "failure_kind": "none", "evidence_steps": [0], "rationale": "ok"}').alias("content"))
-    answers, _ = judge.ask(requests, cache, _echo)
+    cache = JudgeCache(spark, scratch_path(spark, "judge-cache"))
+    cache.merge(requests.where(F.substring("cache_key", 1, 1).isin(list("01234567"))).select("cache_key", F.lit('{"p_success": 0.9, "failure_kind": "none", "evidence_steps": [0], "rationale": "ok"}').alias("content")))
+    answers = judge.ask(requests, cache, lambda: _echo, real=False)
     known = at.steps(spark, d).groupBy("trace_id").agg(F.collect_list(F.col("i").cast("long")).alias("steps"))
     return judge.parse_judgments(answers.select("trace_id", "content"), known).select("trace_id", "p", "abstain", "abstain_reason")
 
 
-def _echo(request: str) -> str:
-    return '{"p_success": 0.1, "failure_kind": "cannot_tell", "evidence_steps": [], "rationale": "' + str(len(request)) + '"}'
+def _echo(request: str) -> Reply:
+    answer = {"p_success": 0.1, "failure_kind": "cannot_tell", "evidence_steps": [], "rationale": str(len(request))}
+    return Reply(200, json.dumps({"choices": [{"message": {"content": json.dumps(answer)}}]}))
 
 
 # Training
@@ -626,10 +636,10 @@ def trn_1_cross_validation(spark, d):
     return training.best_c(training.cross_validation(rows, step_ops.FEATURES))
 
 
-@query(over("traces", "SELECT label, fold, count(*) AS n FROM (SELECT label, (row_number() OVER (PARTITION BY label ORDER BY trace_id) - 1) % 5 AS fold FROM (SELECT trace_id, CASE WHEN gt_outcome = 'success' THEN 1 ELSE 0 END AS label FROM traces)) GROUP BY ALL"))
+@query(over("traces", "SELECT trace_id, label, ((row_number() OVER (PARTITION BY label ORDER BY md5(trace_id), trace_id) - 1) % 5)::INTEGER AS fold FROM (SELECT trace_id, CASE WHEN gt_outcome = 'success' THEN 1 ELSE 0 END AS label FROM traces)"))
 def trn_5_folds(spark, d):
     rows = at.traces(spark, d).select("trace_id", (F.col("gt_outcome") == "success").cast("int").alias("label"))
-    return training.with_folds(rows).groupBy("label", F.col("fold").cast("long").alias("fold")).agg(F.count("*").alias("n"))
+    return training.with_folds(rows).select("trace_id", "label", "fold")
 
 
 # Hypotheses, dataset checks and generated traces
