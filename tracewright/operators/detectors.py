@@ -86,6 +86,37 @@ def cascade(first: DataFrame, second: DataFrame, name: str = "cascade-offline",
     return done.unionByName(rest).withColumn("detector", F.lit(name))
 
 
+def judged_cascade(traces: DataFrame, rule_scores: DataFrame, judge: Callable[[DataFrame], DataFrame], calibrators: DataFrame | None = None, name: str = "cascade") -> DataFrame:
+    """The rules' row where they are conclusive, else the judge's: trace_id, detector, p, abstain, abstain_reason, p_calibrated, latency_ms, cost_usd, cached, decided_by and sent_to_judge.
+
+    judge takes the traces that are left, and no others, and returns trace_id, p, abstain, abstain_reason and, if it has them, latency_ms, cost_usd and cached. The rules' latency counts for
+    all, the judge's for those that were sent. A trace that the judge gives no row for abstains with judge_missing. Each part is calibrated by its own calibrator
+    (detectors rules and judge).
+    """
+    def full(scores: DataFrame, detector: str) -> DataFrame:
+        given = lambda c, kind: (F.col(c) if c in scores.columns else F.lit(None)).cast(kind).alias(c)
+        out = scores.select("trace_id", F.lit(detector).alias("detector"), F.col("p").cast("double").alias("p"), "abstain", given("abstain_reason", "string"), given("latency_ms", "double"), given("cost_usd", "double"), given("cached", "boolean"))
+        return calibrate(out, calibrators) if calibrators is not None else out.withColumn("p_calibrated", F.lit(None).cast("double"))
+
+    ruled = full(rule_scores, "rules")
+    settled = F.coalesce(~F.col("abstain"), F.lit(False)) & F.coalesce(F.col("p").isin(*CONCLUSIVE), F.lit(False))
+    zero = F.lit(0.0)
+    tidy = lambda df, by: df.withColumns({"latency_ms": F.coalesce("latency_ms", zero), "cost_usd": F.coalesce("cost_usd", zero), "cached": F.coalesce("cached", F.lit(False)), "decided_by": F.lit(by), "sent_to_judge": F.lit(by == "judge")})
+    done = tidy(ruled.where(settled), "rules")
+    left = ruled.where(~settled).select("trace_id", F.coalesce("latency_ms", zero).alias("_ms"), F.coalesce("cost_usd", zero).alias("_usd"))
+    asked = full(judge(traces.join(left.select("trace_id"), "trace_id", "left_semi")), "judge")
+    rest = left.join(asked, "trace_id", "left").withColumns({"abstain_reason": F.when(F.col("abstain").isNull(), "judge_missing").otherwise(F.col("abstain_reason")), "abstain": F.coalesce("abstain", F.lit(True))})
+    rest = tidy(rest, "judge").withColumns({"latency_ms": F.col("latency_ms") + F.col("_ms"), "cost_usd": F.col("cost_usd") + F.col("_usd")}).drop("_ms", "_usd")
+    return done.unionByName(rest).withColumn("detector", F.lit(name))
+
+
+def judge_share(cascaded: DataFrame, rules_wall: float, judge_wall: float) -> DataFrame:
+    """n, sent, share and wall_s_per_1k of a cascade: the rules' wall-clock rate and the share of the judge's, which runs calls side by side, so that latencies don't add up to it."""
+    out = cascaded.agg(F.count("*").alias("n"), F.count_if("sent_to_judge").alias("sent"))
+    share = F.when(F.col("n") > 0, F.col("sent") / F.col("n")).otherwise(0.0)
+    return out.select("n", "sent", share.alias("share"), (F.lit(rules_wall) + share * judge_wall).alias("wall_s_per_1k"))
+
+
 def results(traces: DataFrame, scores: DataFrame, success: DataFrame, thresholds: Thresholds = Thresholds()) -> DataFrame:
     """A result for each trace: verdict, p (calibrated where it can be), confidence; skipped without a success claim."""
     used = F.coalesce("p_calibrated", "p") if "p_calibrated" in scores.columns else F.col("p")

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.operators.metrics import auroc, calibration
 
 
+#: Letters that a short passage is looked up by.
+_LETTERS = 8
+
+
 def recall_by_kind(predictions: DataFrame, kinds: DataFrame) -> DataFrame:
     """kind, total and caught false successes of each kind, kinds without any included."""
     counts = predictions.where("label = 0").groupBy("kind").agg(F.count("*").alias("total"), F.count_if(F.col("verdict") == "false_success").alias("caught"))
@@ -73,19 +77,37 @@ def standardisation(features: DataFrame, names: Sequence[str]) -> DataFrame:
     return table.withColumn("scale", F.when(F.col("scale") == 0, 1.0).otherwise(F.col("scale")))
 
 
-def contained(passages: DataFrame, texts: DataFrame, words: int = 5) -> DataFrame:
-    """(passage_id, text_id) where a passage (passage_id, passage) is part of a text (text_id, body).
+def contained(passages: DataFrame, texts: DataFrame, words: int = 5, apart: bool = False) -> DataFrame:
+    """(passage_id, text_id) where a passage (passage_id, passage) is part of a text (text_id, body); apart: only of texts of another side (side, in both).
 
     A passage of `words` + 2 words or more holds whole words inside its first and last one. Its first `words` of these are
-    looked up among the runs of words of the texts, an equi-join, and what meets is settled by the texts themselves. Shorter
-    passages, for which there is no key, are compared with each text; they are few lines of a list of terms.
+    looked up among the runs of words of the texts; a shorter one, by its first letters among all runs of so many letters. Texts send their distinct runs
+    that some passage has, both are equi-joins, and what meets is settled by the texts themselves. The empty passage is part of every text.
     """
     split = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
-    p = passages.withColumn("w", split("passage"))
-    long = p.where(F.size("w") >= words + 2).withColumn("key", F.xxhash64(F.array_join(F.slice("w", 2, words), " ")))
-    places = F.sequence(F.lit(1), F.greatest(F.size("w") - words + 1, F.lit(1)))
-    runs = texts.withColumn("w", split("body")).select("text_id", F.explode(F.array_distinct(F.transform(places, lambda k: F.xxhash64(F.array_join(F.slice("w", k, words), " "))))).alias("key"))
-    found = runs.join(long.select("passage_id", "key"), "key").select("passage_id", "text_id").distinct()
-    settled = found.join(p.select("passage_id", "passage"), "passage_id").join(texts, "text_id").where(F.contains("body", F.col("passage"))).select("passage_id", "text_id")
-    short = p.where(F.size("w") < words + 2).select("passage_id", "passage")
-    return settled.unionByName(short.join(texts, F.contains("body", F.col("passage"))).select("passage_id", "text_id"))
+    side = ["side"] if apart else []
+    p = passages.where("passage IS NOT NULL").withColumn("w", split("passage")).select("passage_id", "passage", *side, "w", F.least(F.char_length("passage"), F.lit(_LETTERS)).alias("n"))
+    by_words = F.size("w") >= words + 2
+    key = F.when(by_words, F.xxhash64(F.array_join(F.slice("w", 2, words), " "))).otherwise(F.xxhash64(F.col("n"), F.substr("passage", F.lit(1), F.col("n"))))
+    keyed = p.select("passage_id", *(F.col(c).alias("own") for c in side), F.when(by_words, -1).otherwise(F.col("n")).alias("n"), key.alias("key"))
+    kinds = {r.n for r in keyed.select("n").distinct().collect()}  # _LETTERS + 2 at most
+
+    def among(items: str, n: int, mark: int | None, joint: str) -> Column:
+        """Keys of the runs of n items: words, or letters with their number as a mark."""
+        places = F.sequence(F.lit(1), F.greatest(F.size(items) - n + 1, F.lit(1)))
+        run = lambda k: F.array_join(F.slice(items, k, n), joint)
+        return F.transform(places, (lambda k: F.xxhash64(run(k))) if mark is None else (lambda k: F.xxhash64(F.lit(mark), run(k))))
+
+    runs = [among("w", words, None, " ")] if -1 in kinds else []
+    runs += [among("letters", n, n, "") for n in sorted(kinds - {-1})]
+    if not runs:
+        return passages.select("passage_id").crossJoin(texts.select("text_id")).limit(0)
+    # Columns of their own, so that a text is split once and not for each run.
+    parted = texts.where("body IS NOT NULL").withColumn("w", split("body")).withColumn("letters", F.split("body", "", -1) if kinds - {-1} else F.lit(None).cast("array<string>"))
+    each = parted.select("text_id", *side, F.explode(F.array_distinct(F.flatten(F.array(*runs)))).alias("key"))
+    # The keys of the passages go to the texts' runs first, which Spark does by broadcast while they are few.
+    found = each.join(keyed.drop("n"), "key")
+    if apart:
+        found = found.where("own != side")
+    found = found.select("passage_id", "text_id").distinct()
+    return found.join(p.select("passage_id", "passage"), "passage_id").join(texts.select("text_id", "body"), "text_id").where(F.contains("body", F.col("passage"))).select("passage_id", "text_id")

@@ -73,12 +73,12 @@ def call_results(steps: DataFrame) -> DataFrame:
 
 
 def merge_probes(steps: DataFrame, probes: DataFrame, traces: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Steps with the probes (trace_id, line_no, name, ok, ts, args, output, error) appended to their traces in file order,
-    and the probes whose trace isn't there.
+    """Steps with the probes (trace_id, line_no, name, ok, ts, args, output, error) appended to their traces in file order
+    (files by name, if probes have file), and the probes whose trace isn't there.
     """
     last = steps.groupBy("trace_id").agg(F.max("i").alias("last_i"))
     known = probes.join(traces.select("trace_id"), "trace_id", "left_semi").join(last, "trace_id", "left")
-    place = F.row_number().over(Window.partitionBy("trace_id").orderBy("line_no"))
+    place = F.row_number().over(Window.partitionBy("trace_id").orderBy(*(c for c in ("file", "line_no") if c in probes.columns)))
     added = known.withColumn("i", (F.coalesce("last_i", F.lit(-1)) + place).cast(steps.schema["i"].dataType)).withColumns({"kind": F.lit("state_probe"), "role": F.lit("environment"), "content": F.lit(None).cast("string")})
     return steps.unionByName(added.select(*(c for c in steps.columns if c in added.columns)), allowMissingColumns=True), probes.join(traces.select("trace_id"), "trace_id", "left_anti")
 
@@ -152,7 +152,8 @@ def features(steps: DataFrame, traces: DataFrame, claims: DataFrame) -> DataFram
         flag(results & _any(F.col("blob"), REVIEWER_PHRASES)).alias("reviewed"),
         joined("evidence").alias("evidence"), joined("asked").alias("asked"),
     )
-    claimed = claims.groupBy("trace_id").agg(F.count("*").cast("double").alias("claims"))
+    extracted = F.max((F.col("source") == "extracted").cast("double")) if "source" in claims.columns else F.lit(0.0)
+    claimed = claims.groupBy("trace_id").agg(F.count("*").cast("double").alias("claims"), extracted.alias("claims_extracted"))
     said = F.lower(F.coalesce("final_text", F.lit("")))
     out = traces.join(agg, "trace_id", "left").join(claimed, "trace_id", "left").fillna("", ["evidence", "asked"])
     out = out.withColumns(
@@ -161,7 +162,7 @@ def features(steps: DataFrame, traces: DataFrame, claims: DataFrame) -> DataFram
             "write_success_ratio": share("ok_writes", "writes"),
             "reviewer_phrase_present": F.greatest(F.coalesce("reviewed", F.lit(0.0)), _any(said, REVIEWER_PHRASES).cast("double")),
             "n_claims": F.coalesce("claims", F.lit(0.0)),
-            "claims_extracted_from_text": F.coalesce(F.col("claims_extracted").cast("double"), F.lit(0.0)) if "claims_extracted" in traces.columns else F.lit(0.0),
+            "claims_extracted_from_text": F.coalesce("claims_extracted", F.lit(0.0)),
             "hedge_words_present": _any(said, HEDGE_WORDS).cast("double"),
             "final_text_length": F.char_length(F.coalesce("final_text", F.lit(""))).cast("double"),
             "unsupported_value_ratio": 1 - value_share(F.col("final_text"), F.col("evidence"), 1.0),

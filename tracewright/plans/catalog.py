@@ -39,13 +39,13 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    from tracewright.plans import operations  # noqa: F401  # registers its own
+    from tracewright.plans import evaluation, operations  # noqa: F401  # they register their own
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from tracewright.plans import operations  # noqa: F401
+    from tracewright.plans import evaluation, operations  # noqa: F401
 
     return dict(_SQL)
 
@@ -139,7 +139,7 @@ SELECT trace_id, domain, n_steps::DOUBLE AS n_steps, n_tool_calls::DOUBLE AS n_t
   CASE WHEN writes > 0 THEN round(ok_writes / writes::DOUBLE, 6) ELSE 0.0 END::DOUBLE AS write_success_ratio, last_write_succeeded::INT::DOUBLE AS last_write_succeeded, n_retries::DOUBLE AS n_retries,
   receipt_id_present::INT::DOUBLE AS receipt_id_present, steps_after_last_write::DOUBLE AS steps_after_last_write, probe_present::INT::DOUBLE AS probe_present, probe_succeeded::INT::DOUBLE AS probe_succeeded,
   probe_empty_or_not_found::INT::DOUBLE AS probe_empty_or_not_found, error_keyword_hits::DOUBLE AS error_keyword_hits, pending_status_present::INT::DOUBLE AS pending_status_present,
-  contains(lower(final_text), 'you can sign off on this')::INT::DOUBLE AS reviewer_phrase_present, (SELECT count(*) FROM claims c WHERE c.trace_id = a.trace_id)::DOUBLE AS n_claims, 0.0::DOUBLE AS claims_extracted_from_text,
+  contains(lower(final_text), 'you can sign off on this')::INT::DOUBLE AS reviewer_phrase_present, (SELECT count(*) FROM claims c WHERE c.trace_id = a.trace_id)::DOUBLE AS n_claims, (EXISTS (SELECT 1 FROM claims c WHERE c.trace_id = a.trace_id) AND substr(trace_id, 2)::BIGINT % 9 = 2)::INT::DOUBLE AS claims_extracted_from_text,
   contains(lower(final_text), 'it looks like')::INT::DOUBLE AS hedge_words_present, length(final_text)::DOUBLE AS final_text_length,
   round(1 - CASE WHEN len(said) = 0 THEN 1.0 ELSE len(list_filter(said, lambda w: contains(evidence, lower(w)))) / len(said)::DOUBLE END, 6)::DOUBLE AS unsupported_value_ratio,
   round(CASE WHEN len(told) = 0 THEN 1.0 ELSE len(list_filter(told, lambda w: contains(asked, lower(w)))) / len(told)::DOUBLE END, 6)::DOUBLE AS instruction_value_coverage
@@ -156,12 +156,13 @@ def f_features(spark, d):
     return f.select("trace_id", "domain", *(F.round(c, 6).alias(c) for c in step_ops.FEATURES))
 
 
-@query(over("steps", """
-SELECT feature, round(avg(value), 6) AS mean, round(CASE WHEN stddev_pop(value) = 0 THEN 1.0 ELSE stddev_pop(value) END, 6) AS scale FROM (
-  SELECT unnest(['n_steps', 'n_tool_calls', 'n_failed_results']) AS feature, unnest([n_steps, n_calls, n_failed])::DOUBLE AS value FROM (
-    SELECT trace_id, count(*) AS n_steps, count(*) FILTER (kind = 'tool_call') AS n_calls, count(*) FILTER (has_error) AS n_failed FROM steps GROUP BY trace_id)) GROUP BY feature"""))
+#: All features as rows (trace_id, domain, feature, value), in SQL and in Spark; shares are rounded in both, as their last bits differ.
+_LONG = f"(UNPIVOT ({_FEATURES}) ON COLUMNS(* EXCLUDE (trace_id, domain)) INTO NAME feature VALUE value)"
+
+
+@query(f"SELECT feature, round(avg(value), 6) AS mean, round(CASE WHEN stddev_pop(value) = 0 THEN 1.0 ELSE stddev_pop(value) END, 6) AS scale FROM {_LONG} GROUP BY feature")
 def o_agg_18_standardisation(spark, d):
-    return report.standardisation(_features(spark, d), ["n_steps", "n_tool_calls", "n_failed_results"]).select("feature", _r(F.col("mean"), "mean"), _r(F.col("scale"), "scale"))
+    return report.standardisation(f_features(spark, d), step_ops.FEATURES).select("feature", _r(F.col("mean"), "mean"), _r(F.col("scale"), "scale"))
 
 
 # Claims and rules
@@ -246,24 +247,25 @@ def det_3_rules(spark, d):
     return detectors.rules(at.traces(spark, d), at.steps(spark, d), at.claims(spark, d), at.packs()).select("trace_id", "p", "abstain", "abstain_reason")
 
 
-_MODEL = LogisticModel(("n_steps", "n_failed_results", "n_write_calls"), (60.0, 10.0, 8.0), (10.0, 4.0, 3.0), (0.2, -0.9, 0.5), 0.1, ("booking", "crm"), 0.6)
-_MODEL_SQL = over("steps traces", """
-, f AS (SELECT trace_id, domain, count(*)::DOUBLE AS n_steps, count(*) FILTER (kind = 'tool_result') AS n_results, count(*) FILTER (has_error)::DOUBLE AS n_failed, count(*) FILTER (kind = 'tool_call' AND name IN ('crm.create', 'crm.update'))::DOUBLE AS n_writes
-  FROM traces JOIN steps USING (trace_id) GROUP BY ALL),
-c AS (SELECT *, (n_steps - 60) / 10 * 0.2::DOUBLE AS c1, (n_failed - 10) / 4 * -0.9::DOUBLE AS c2, (n_writes - 8) / 3 * 0.5::DOUBLE AS c3, domain NOT IN ('booking', 'crm') OR n_results = 0 AS out FROM f)
-""").replace("\n\n, f AS", ", f AS")
+# A model over all features, with coefficients by arithmetic on their places.
+_N = range(len(step_ops.FEATURES))
+_MODEL = LogisticModel(step_ops.FEATURES, [k * 0.5 for k in _N], [1.0 + k for k in _N], [(k * 7 % 5 - 2) / 2 for k in _N], 0.1, ("booking", "crm"), 0.6)
+_PARTS = f"""
+WITH l AS (SELECT * FROM {_LONG}), m AS (SELECT unnest({list(step_ops.FEATURES)!r}) AS feature, unnest(range({len(_N)})) AS k),
+c AS (SELECT trace_id, domain, feature, k, (value - k * 0.5::DOUBLE) / (1 + k)::DOUBLE * ((k * 7 % 5 - 2) / 2.0::DOUBLE) AS part, value FROM l JOIN m USING (feature)),
+o AS (SELECT trace_id, domain NOT IN ('booking', 'crm') OR max(value) FILTER (feature = 'n_tool_results') = 0 AS out, sum(part ORDER BY k) AS z FROM c GROUP BY trace_id, domain)
+"""
 
 
-@query(_MODEL_SQL + "SELECT trace_id, out AS abstain, round(CASE WHEN out THEN 0.6 ELSE 1 / (1 + exp(-(0.1::DOUBLE + c1 + c2 + c3))) END, 6) AS p FROM c")
+@query(_PARTS + "SELECT trace_id, out AS abstain, round(CASE WHEN out THEN 0.6 ELSE 1 / (1 + exp(-(0.1::DOUBLE + z))) END, 6) AS p FROM o")
 def det_4_classifier(spark, d):
-    return detectors.classifier(_features(spark, d), _MODEL).select("trace_id", "abstain", _r(F.col("p"), "p"))
+    return detectors.classifier(f_features(spark, d), _MODEL).select("trace_id", "abstain", _r(F.col("p"), "p"))
 
 
-@query(_MODEL_SQL + """SELECT trace_id, feature, round(value, 6) + 0.0 AS value FROM (SELECT trace_id, unnest(['n_steps', 'n_failed_results', 'n_write_calls']) AS feature, unnest([c1, c2, c3]) AS value FROM c)
-QUALIFY row_number() OVER (PARTITION BY trace_id ORDER BY abs(value) DESC, list_position(['n_steps', 'n_failed_results', 'n_write_calls'], feature)) <= 2""")
+@query(_PARTS + "SELECT trace_id, feature, round(part, 6) + 0.0 AS value, place FROM (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY abs(part) DESC, k)::INTEGER AS place FROM c) WHERE place <= 10")
 def o_srt_3_contributions(spark, d):
-    top = _features(spark, d).select("trace_id", F.explode(_MODEL.top_contributions(2)).alias("x"))
-    return top.select("trace_id", "x.feature", _r(F.col("x.value"), "value"))
+    top = f_features(spark, d).select("trace_id", F.posexplode(_MODEL.top_contributions(10)).alias("place", "x"))
+    return top.select("trace_id", "x.feature", (F.round("x.value", 6) + 0.0).alias("value"), (F.col("place") + 1).alias("place"))
 
 
 _CAL = {"rules": (0.8031373186446822, -0.14878284439448436), "classifier-lr": (0.7645566594915274, -0.03800312262447237)}
@@ -478,10 +480,13 @@ def o_agg_12_best_detector(spark, d):
     return report.best_detector(at.predictions(spark, d)).select("detector", _r(F.col("auroc"), "auroc"))
 
 
-@query(over("predictions", f"""
-SELECT feature, round(auroc, 6) AS auroc FROM ({auroc_sql("(SELECT label, unnest(['latency_ms', 'cost_usd', 'p']) AS feature, unnest([latency_ms, cost_usd, p]) AS value FROM predictions)", "feature", "value")})"""))
+_LABELLED = f"(SELECT l.feature, l.value, CASE WHEN t.gt_outcome = 'success' THEN 1 ELSE 0 END AS label FROM {_LONG} l JOIN ({over('traces', 'SELECT trace_id, gt_outcome FROM traces')}) t USING (trace_id) WHERE t.gt_outcome <> 'unknown')"
+
+
+@query(f"SELECT feature, round(auroc, 6) AS auroc FROM ({auroc_sql(_LABELLED, 'feature', 'value')})")
 def o_agg_17_feature_auroc(spark, d):
-    return report.feature_auroc(at.predictions(spark, d), ["latency_ms", "cost_usd", "p"]).select("feature", _r(F.col("auroc"), "auroc"))
+    labels = at.traces(spark, d).where("gt_outcome != 'unknown'").select("trace_id", (F.col("gt_outcome") == "success").cast("int").alias("label"))
+    return report.feature_auroc(f_features(spark, d).join(labels, "trace_id"), step_ops.FEATURES).select("feature", _r(F.col("auroc"), "auroc"))
 
 
 # Costs

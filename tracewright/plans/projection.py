@@ -84,8 +84,9 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     record = F.to_json(F.struct(F.concat(F.lit("r"), (n % 7).cast("string")).alias("record_id")))
     first = F.when(n % 5 != 4, one(0, F.when(n % 7 == 6, "failed").otherwise("updated"), record))
     second = F.when((n % 5 != 4) & (n % 3 == 0), one(1, F.when(n % 4 == 1, "unmapped").otherwise("created"), F.to_json(F.struct((n % 10).alias("k")))))
-    each = u.select(F.concat(F.lit("u"), n.cast("string")).alias("trace_id"), F.explode(F.filter(F.array(first, second), lambda x: x.isNotNull())).alias("c"))
-    return each.select("trace_id", "c.claim_idx", "c.type", F.parse_json("c.subject").alias("subject"))
+    source = F.when(n % 9 == 2, "extracted").otherwise("structured")
+    each = u.select(F.concat(F.lit("u"), n.cast("string")).alias("trace_id"), source.alias("source"), F.explode(F.filter(F.array(first, second), lambda x: x.isNotNull())).alias("c"))
+    return each.select("trace_id", "c.claim_idx", "c.type", F.parse_json("c.subject").alias("subject"), "source")
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:

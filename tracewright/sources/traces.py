@@ -6,12 +6,14 @@ and a missing key are the same for name, content, args, ok and error, but not in
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewright.functions.values import kind
+from tracewright.sources.folders import Folder
 
 # The form of a trace line.
 FORMAT = "agent-trace/v1"
@@ -182,17 +184,17 @@ def load_traces(spark: SparkSession, path: str, strict: bool = False) -> Loaded:
 
 
 def load_probes(spark: SparkSession, path: str) -> DataFrame:
-    """Probe lines (line_no, trace_id, name, ok, ts, args, output, error); an invalid one always fails the job."""
+    """Probe lines (file, line_no, trace_id, name, ok, ts, args, output, error); an invalid one always fails the job."""
     v = F.try_parse_json("value")
     required = F.lit(True)
     for k in ("trace_id", "name", "ok", "ts"):
         required = required & F.coalesce(F.array_contains(F.json_object_keys(F.to_json("v")), k), F.lit(False))
     extra = F.size(F.array_except(F.json_object_keys(F.to_json("v")), F.array(*(F.lit(k) for k in PROBE_KEYS)))) > 0
     lines = read_lines(spark, path).where(F.trim("value") != "").withColumn("v", v)
-    guarded = lines.withColumn("v", F.when(required & ~F.coalesce(extra, F.lit(True)), F.col("v")).otherwise(F.raise_error(F.concat(F.lit("invalid probe in line "), F.col("line_no").cast("string"))).cast("variant")))
+    guarded = lines.withColumn("v", F.when(required & ~F.coalesce(extra, F.lit(True)), F.col("v")).otherwise(F.raise_error(F.concat(F.lit("invalid probe in line "), F.col("line_no").cast("string"), F.lit(" of "), F.col("file"))).cast("variant")))
     given = lambda k: F.when(~F.is_variant_null(_at(F.col("v"), f"$.{k}")), _at(F.col("v"), f"$.{k}"))
     text = lambda k: _at(F.col("v"), f"$.{k}", "string").alias(k)
-    return guarded.select("line_no", text("trace_id"), text("name"), _at(F.col("v"), "$.ok", "boolean").alias("ok"), text("ts"), given("args").alias("args"), _at(F.col("v"), "$.output").alias("output"), given("error").alias("error"))
+    return guarded.select("file", "line_no", text("trace_id"), text("name"), _at(F.col("v"), "$.ok", "boolean").alias("ok"), text("ts"), given("args").alias("args"), _at(F.col("v"), "$.output").alias("output"), given("error").alias("error"))
 
 
 def detector_view(traces: DataFrame) -> DataFrame:
@@ -203,3 +205,34 @@ def detector_view(traces: DataFrame) -> DataFrame:
 def dump(df: DataFrame, path: str) -> None:
     """Write rows as JSON lines with keys in order."""
     df.select(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
+
+
+def trace_lines(lines: DataFrame) -> DataFrame:
+    """trace_id and value, the line of each trace of (trace_id, v): its JSON text with keys in order, without ground_truth and meta that are null."""
+    null = lambda k: F.coalesce(F.is_variant_null(_at(F.col("v"), f"$.{k}")), F.lit(False))
+    keys = F.filter(F.json_object_keys(F.to_json("v")), lambda k: ~((k == "ground_truth") & null("ground_truth")) & ~((k == "meta") & null("meta")))
+    fields = F.try_variant_get(F.col("v"), "$", "map<string,variant>")
+    cell = lambda k: F.concat(F.to_json(F.struct(k.alias("k"))).substr(F.lit(6), F.length(F.to_json(F.struct(k.alias("k")))) - 6), F.lit(":"), F.to_json(fields[k]))
+    return lines.select("trace_id", F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(keys), cell), ","), F.lit("}")).alias("value"))
+
+
+def write_sorted(lines: DataFrame, path: str) -> None:
+    """Write (trace_id, value) as lines in the order of trace_id over the files in theirs, if all of them are valid traces.
+
+    Lines are range-partitioned, so each task sorts and writes its own range. What was written is read and checked before the folder gets its name:
+    an invalid line raises TraceLineError, and nothing is left behind.
+    """
+    spark = lines.sparkSession
+    parent, _, name = path.rstrip("/").rpartition("/")
+    folder, aside = Folder(spark, parent), f"_aside-{uuid.uuid4().hex}"
+    if folder.exists(name):
+        raise FileExistsError(f"{path} is there already")
+    try:
+        lines.repartitionByRange("trace_id").sortWithinPartitions("trace_id").select("value").write.text(folder.at(aside))
+        first = validate(read_lines(spark, folder.at(aside))).errors.orderBy("file", "line_no", "json_path", "message").first()
+        if first:
+            raise TraceLineError(f"line {first.line_no} of {first.file.rpartition('/')[2]}: {first.json_path}: {first.message}")
+        if not folder.rename_new(aside, name):
+            raise FileExistsError(f"{path} is there already")
+    finally:
+        folder.delete(aside)
