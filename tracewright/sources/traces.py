@@ -7,6 +7,7 @@ and a missing key are the same for name, content, args, ok and error, but not in
 from __future__ import annotations
 
 import uuid
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -207,13 +208,19 @@ def dump(df: DataFrame, path: str) -> None:
     df.select(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
 
 
-def trace_lines(lines: DataFrame) -> DataFrame:
-    """trace_id and value, the line of each trace of (trace_id, v): its JSON text with keys in order, without ground_truth and meta that are null."""
-    null = lambda k: F.coalesce(F.is_variant_null(_at(F.col("v"), f"$.{k}")), F.lit(False))
-    keys = F.filter(F.json_object_keys(F.to_json("v")), lambda k: ~((k == "ground_truth") & null("ground_truth")) & ~((k == "meta") & null("meta")))
-    fields = F.try_variant_get(F.col("v"), "$", "map<string,variant>")
-    cell = lambda k: F.concat(F.to_json(F.struct(k.alias("k"))).substr(F.lit(6), F.length(F.to_json(F.struct(k.alias("k")))) - 6), F.lit(":"), F.to_json(fields[k]))
-    return lines.select("trace_id", F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(keys), cell), ","), F.lit("}")).alias("value"))
+def trace_lines(lines: DataFrame, instead: Mapping[str, Column] | None = None) -> DataFrame:
+    """trace_id and value, the line of each trace of (trace_id, v): its JSON text with keys in order, without ground_truth and meta that are null.
+
+    instead: JSON text for some keys, whatever v has there.
+    """
+    instead = instead or {}
+    v, fields = F.col("v"), F.try_variant_get("v", "$", "map<string,variant>")
+    null = lambda k: F.coalesce(F.is_variant_null(_at(v, f"$.{k}")), F.lit(False))
+    gone = lambda k: (F.lit(False) if not instead else k.isin(*instead)) | ((k == "ground_truth") & null("ground_truth")) | ((k == "meta") & null("meta"))
+    own = F.transform(F.filter(F.map_keys(fields), lambda k: ~gone(k)), lambda k: F.struct(k.alias("k"), F.to_json(fields[k]).alias("j")))
+    cells = F.array_sort(F.concat(own, *(F.array(F.struct(F.lit(k).alias("k"), j.alias("j"))) for k, j in instead.items())))
+    quoted = lambda k: F.regexp_extract(F.to_json(F.struct(k.alias("k"))), r'^\{"k":(.*)\}$', 1)
+    return lines.select("trace_id", F.concat(F.lit("{"), F.array_join(F.transform(cells, lambda c: F.concat(quoted(c["k"]), F.lit(":"), c["j"])), ","), F.lit("}")).alias("value"))
 
 
 def write_sorted(lines: DataFrame, path: str) -> None:
