@@ -337,18 +337,22 @@ def o_agg_7_overview(spark, d):
     return detectors.overview(_results(spark, d))
 
 
-@query(_RESULTS + "SELECT trace_id, round(abs(p_success - 0.5), 6) AS distance, row_number() OVER (ORDER BY abs(p_success - 0.5), trace_id) AS place FROM r WHERE verdict = 'unverifiable'")
+@query(over("predictions", "SELECT trace_id, round(abs(p - 0.5), 6) AS distance, row_number() OVER (ORDER BY abs(p - 0.5), trace_id) AS place FROM (SELECT detector || '/' || trace_id AS trace_id, p, verdict FROM predictions) WHERE verdict = 'unverifiable'"))
 def o_srt_2_review_queue(spark, d):
-    q = ranked(detectors.review_queue(_results(spark, d)), [F.col("distance"), F.col("trace_id")], name="place")
+    results = at.predictions(spark, d).select(F.concat("detector", F.lit("/"), "trace_id").alias("trace_id"), F.col("p").alias("p_success"), "verdict")
+    q = ranked(detectors.review_queue(results), [F.col("distance"), F.col("trace_id")], name="place")
     return q.select("trace_id", _r(F.col("distance"), "distance"), (F.col("place") + 1).alias("place"))
 
 
-@query(over("steps traces", """
-SELECT CASE WHEN p >= 0.8 THEN 'verified' ELSE 'false_success' END AS verdict, count(*) AS n FROM (
-  SELECT trace_id, CASE WHEN bool_or(kind = 'tool_result' AND NOT ok) THEN 0.0 ELSE 1.0 END AS p FROM steps GROUP BY trace_id) GROUP BY 1"""))
+@query(over("steps", """
+SELECT split_part(trace_id, '/', 1)[-1:] AS digit, CASE WHEN p >= 0.8 THEN 'verified' ELSE 'false_success' END AS verdict, count(*) AS n FROM (
+  SELECT trace_id || '/' || (i // 3) AS trace_id, CASE WHEN bool_or(kind = 'tool_result' AND NOT ok) THEN 0.0 ELSE 1.0 END AS p FROM steps GROUP BY 1) GROUP BY ALL"""))
 def o_agg_8_verdict_counts(spark, d):
-    scored = detectors.any_error(at.traces(spark, d), at.steps(spark, d))
-    return scored.groupBy(gate(F.col("p"), F.col("abstain")).alias("verdict")).agg(F.count("*").alias("n"))
+    """Short traces, three steps each, so that some are without an error; counted by the last digit of their user."""
+    steps = at.steps(spark, d).withColumn("trace_id", F.concat("trace_id", F.lit("/"), F.floor(F.col("i") / 3).cast("string")))
+    scored = detectors.any_error(steps.select("trace_id").distinct(), steps)
+    user = F.element_at(F.split("trace_id", "/"), 1)
+    return scored.groupBy(F.substring(user, -1, 1).alias("digit"), gate(F.col("p"), F.col("abstain")).alias("verdict")).agg(F.count("*").alias("n"))
 
 
 @query(over("traces", "SELECT trace_id, domain, task_id, instruction, final_text FROM traces"))
@@ -578,9 +582,9 @@ def o_set_1_union_all(spark, d):
     return docs.unionByName(at.table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.lit("benchmark").alias("kind")))
 
 
-@query("SELECT DISTINCT c_nationkey AS nation FROM customer EXCEPT SELECT s_nationkey FROM supplier")
+@query("SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels")
 def o_set_2_difference(spark, d):
-    return at.table(spark, d, "customer").select(F.col("c_nationkey").alias("nation")).subtract(at.table(spark, d, "supplier").select("s_nationkey"))
+    return at.table(spark, d, "documents").select("doc_id").subtract(at.table(spark, d, "labels").select("doc_id"))
 
 
 @query("SELECT c_nationkey AS nation FROM customer INTERSECT SELECT s_nationkey FROM supplier")
@@ -610,7 +614,17 @@ def o_prj_7_render_steps(spark, d):
     return judge.render_steps(at.steps(spark, d)).select("trace_id", F.sha2("steps_text", 256).alias("digest"))
 
 
-@query()
+_RENDERED = """SELECT trace_id, string_agg('[' || i || '] ' || kind || ' ' || role || CASE WHEN name IS NOT NULL THEN ' name=' || name ELSE '' END || CASE WHEN ok IS NOT NULL THEN ' ok=' || ok::VARCHAR ELSE '' END
+  || CASE WHEN kind = 'tool_call' THEN ' args={"k":' || k || ',"record_id":"' || record_id || '"}' ELSE '' END || CASE WHEN has_output THEN ' output={"k":' || k || ',"record_id":"' || record_id || '","status":"' || status || '"}' ELSE '' END
+  || CASE WHEN has_error THEN ' error=' || CASE WHEN k % 2 = 0 THEN 'not found' ELSE '{"code":' || k || '}' END ELSE '' END || CASE WHEN kind = 'message' THEN ': note ' || k ELSE '' END, chr(10) ORDER BY i) AS steps_text FROM steps GROUP BY trace_id"""
+
+
+@query(over("steps traces claims", f"""
+, st AS ({_RENDERED}),
+cl AS (SELECT trace_id, string_agg(type || ' ' || CASE WHEN claim_idx = 0 THEN '{{"record_id":"' || s_record || '"}}' ELSE '{{"k":' || s_k || '}}' END, chr(10) ORDER BY claim_idx) AS claims_text FROM claims GROUP BY trace_id),
+r AS (SELECT trace_id, '{{"max_tokens":400,"messages":[{{"content":"Audit the claims.","role":"system"}},{{"content":' || to_json(concat_ws(chr(10), 'INSTRUCTION', instruction, 'STEPS', steps_text, 'CLAIMS', claims_text, 'FINAL MESSAGE', final_text))::VARCHAR || ',"role":"user"}}],"model":"judge-model","temperature":0.0}}' AS request
+  FROM traces LEFT JOIN st USING (trace_id) LEFT JOIN cl USING (trace_id))
+SELECT trace_id, sha256(request) AS request_sha256, sha256('judge-model' || chr(10) || '1' || chr(10) || request) AS cache_key FROM r""").replace("\n\n, st AS", ", st AS"))
 def o_prj_8_requests(spark, d):
     return judge.requests(at.traces(spark, d), at.steps(spark, d), at.claims(spark, d), "judge-model", "Audit the claims.").select("trace_id", "request_sha256", "cache_key")
 

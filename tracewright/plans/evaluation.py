@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.operators import assembly, dataset, detectors, hypotheses, rules, training
+from tracewright.operators import assembly, dataset, detectors, hypotheses, review, rules, training
 from tracewright.operators import steps as step_ops
 from tracewright.plans import projection as at
-from tracewright.plans.catalog import _LONG, _r, f_features, query
+from tracewright.plans.catalog import _LONG, _RESULTS, _r, _results, f_features, query
 from tracewright.plans.sql import auroc_sql, over
 from tracewright.sources import artifacts
 from tracewright.sources import traces as trace_source
@@ -219,13 +219,55 @@ def o_srt_1_sorted_traces(spark, d):
 
     c = at.table(spark, d, "conversations").withColumn("n", F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text")))
     name = F.concat(F.lit("c"), F.lpad((F.col("conv_id") * 7919 % 100003).cast("string"), 6, "0"), F.lit("-"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string"), F.lit("-"), F.col("n").cast("string"))
-    task = F.struct(F.lit("crm").alias("domain"), F.lit("t").alias("id"), F.lit("do").alias("instruction"))
-    step = F.struct(F.lit(0).alias("i"), F.lit("message").alias("kind"), F.lit("user").alias("role"), F.lit("2026-01-01T00:00:00Z").alias("ts"))
-    body = F.struct(F.struct(F.array().cast("array<string>").alias("claims"), F.col("text")).alias("final_claim"), F.lit(trace_source.FORMAT).alias("schema"), F.lit("test").alias("source"), F.array(step).alias("steps"), task.alias("task"), name.alias("trace_id"))
     path = scratch_path(spark, "sorted")
-    lines = trace_source.trace_lines(c.select(name.alias("trace_id"), F.parse_json(F.to_json(body)).alias("v")))
+    lines = trace_source.trace_lines(c.select(name.alias("trace_id"), F.parse_json(_trace_line(name)).alias("v")))
     trace_source.write_sorted(lines, path)
     read = trace_source.read_lines(spark, path)
     ahead = read.groupBy("file").agg(F.count("*").alias("n"))
     ahead = ahead.select("file", F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))  # a row for each file
     return read.join(F.broadcast(ahead), "file").select(F.get_json_object("value", "$.trace_id").alias("trace_id"), (F.col("ahead") + F.col("line_no")).alias("place"))
+
+
+# Reviews
+
+_PAYLOAD = _RESULTS + """
+, ev AS (SELECT trace_id, string_agg(claim_idx || ':' || outcome || ':' || coalesce(step::VARCHAR, ''), ',' ORDER BY claim_idx) AS evidence FROM outcomes GROUP BY trace_id),
+sd AS (SELECT trace_id, count(*)::INTEGER AS n_steps, sha256(string_agg(i || ':' || kind || ':' || coalesce(name, '') || ':' || CASE WHEN has_error THEN CASE WHEN k % 2 = 0 THEN 'not found' ELSE '{"code":' || k || '}' END ELSE '' END, ';' ORDER BY i)) AS steps_sha256 FROM steps GROUP BY trace_id),
+cd AS (SELECT trace_id, string_agg(type, ',' ORDER BY claim_idx) AS claim_types FROM claims GROUP BY trace_id)
+SELECT r.trace_id, r.domain, t.final_text AS final_message, r.verdict, round(r.p_success, 6) AS p_success, n_steps, steps_sha256, coalesce(claim_types, '') AS claim_types, coalesce(evidence, '') AS evidence
+FROM r JOIN traces t USING (trace_id) LEFT JOIN sd USING (trace_id) LEFT JOIN cd USING (trace_id) LEFT JOIN ev USING (trace_id)"""
+
+
+@query(_PAYLOAD)
+def o_prj_6_review_payload(spark, d):
+    traces, steps, claims = at.traces(spark, d), at.steps(spark, d), at.claims(spark, d)
+    shown = review.payload(traces, steps, claims, _results(spark, d), rules.evaluate_claims(claims, steps, traces, at.packs()))
+    said = lambda a, f: F.array_join(F.transform(a, f), ",")
+    digest = F.sha2(F.array_join(F.transform("steps", lambda s: F.concat_ws(":", s["i"].cast("string"), s["kind"], F.coalesce(s["name"], F.lit("")), F.coalesce(s["error"], F.lit("")))), ";"), 256)
+    evidence = said("rule_evidence", lambda e: F.concat_ws(":", e["claim_idx"].cast("string"), e["outcome"], F.coalesce(e["step"].cast("string"), F.lit(""))))
+    return shown.select("trace_id", "domain", "final_message", "verdict", _r(F.col("p_success"), "p_success"), F.size("steps").alias("n_steps"), digest.alias("steps_sha256"), said("claims", lambda c: c["type"]).alias("claim_types"), evidence.alias("evidence"))
+
+
+@query("""
+SELECT 'c' || conv_id || '-' || turn || '-' || n AS trace_id, CASE WHEN conv_id % 2 = 0 THEN 'success' ELSE 'failure' END AS outcome, 'human' AS checked_by, 'note ' || turn AS note
+FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY role, text) AS n FROM conversations) WHERE conv_id % 3 <> 1""")
+def snk_6_reviews(spark, d):
+    """Decisions on two thirds of the traces, in two batches of which one is sent twice, read back as labelled traces."""
+    from pyspark.sql import Window
+
+    c = at.table(spark, d, "conversations").withColumn("n", F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text")))
+    name = F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string"), F.lit("-"), F.col("n").cast("string"))
+    lines = trace_source.validate(c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("line_no"), _trace_line(name).alias("value"))).lines
+    decided = c.select(name.alias("trace_id"), F.when(F.col("conv_id") % 2 == 0, "verified").otherwise("false_success").alias("decision"), F.concat(F.lit("note "), F.col("turn").cast("string")).alias("note"), F.lit("unverifiable").alias("previous_verdict"), F.lit("2026-01-01T00:00:00Z").alias("reviewed_at"), (F.col("conv_id") % 3).alias("batch"))
+    path = scratch_path(spark, "reviews")
+    for number in (0, 2, 0):
+        review.append_reviews(lines, decided.where(F.col("batch") == number).drop("batch"), path, number)
+    found = trace_source.load_traces(spark, f"{path}/batch=*").traces()
+    return found.select("trace_id", F.col("gt_outcome").alias("outcome"), F.col("gt_checked_by").alias("checked_by"), F.try_variant_get("gt_details", "$.note", "string").alias("note"))
+
+
+def _trace_line(name):
+    """The line of a small trace with a turn of a conversation as its final message."""
+    task = F.struct(F.lit("crm").alias("domain"), F.lit("t").alias("id"), F.lit("do").alias("instruction"))
+    step = F.struct(F.lit(0).alias("i"), F.lit("message").alias("kind"), F.lit("user").alias("role"), F.lit("2026-01-01T00:00:00Z").alias("ts"))
+    return F.to_json(F.struct(F.struct(F.array().cast("array<string>").alias("claims"), F.col("text")).alias("final_claim"), F.lit(trace_source.FORMAT).alias("schema"), F.lit("test").alias("source"), F.array(step).alias("steps"), task.alias("task"), name.alias("trace_id")))
