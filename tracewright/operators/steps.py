@@ -66,6 +66,7 @@ def call_results(steps: DataFrame) -> DataFrame:
 
     trace_id, call_i, name, args, and result_i, ok, output, error (null without a result).
     """
+    steps = steps.repartition("trace_id")
     paired = pair_results(steps).where("kind = 'tool_result' AND call_i IS NOT NULL")
     last = paired.groupBy("trace_id", "call_i").agg(F.max_by(F.struct(F.col("i").alias("result_i"), "ok", "output", "error"), "i").alias("r"))
     calls = steps.where("kind = 'tool_call'").select("trace_id", F.col("i").alias("call_i"), "name", "args")
@@ -116,17 +117,17 @@ def features(steps: DataFrame, traces: DataFrame, claims: DataFrame) -> DataFram
     traces: trace_id, domain, instruction, final_text. claims: trace_id, source (structured or extracted).
     One conditional aggregation over the steps, after windows by trace.
     """
-    by_trace = Window.partitionBy("trace_id").orderBy("i")
     whole = Window.partitionBy("trace_id")
     is_ = lambda k: F.col("kind") == k
     write = F.coalesce(F.col("name").rlike(f"(?i){WRITE_VERBS}"), F.lit(False))
-    paired = pair_results(steps)
-    # The next step that is no message, seen from each step.
-    follow = by_trace.rowsBetween(1, Window.unboundedFollowing)
+    # One exchange for all: a trace's steps are together, and so are those of one name.
+    paired = pair_results(steps.repartition("trace_id"))
+    # The next step that is no message, seen from each step: backwards the frame only grows, so a long trace takes linear time.
+    follow = Window.partitionBy("trace_id").orderBy(F.col("i").desc()).rowsBetween(Window.unboundedPreceding, -1)
     step = F.struct("kind", "name")
     result_ok = F.max(F.when(is_("tool_result") & write & succeeded(), F.col("i"))).over(whole)
     last_write_call = F.max(F.when(is_("tool_call") & write, F.col("i"))).over(whole)
-    rows = paired.withColumns({"next": F.first(F.when(~is_("message"), step), ignorenulls=True).over(follow), "last_ok_write": result_ok, "last_write_call": last_write_call})
+    rows = paired.withColumns({"next": F.last(F.when(~is_("message"), step), ignorenulls=True).over(follow), "last_ok_write": result_ok, "last_write_call": last_write_call})
     rows = rows.withColumn("blob", F.concat(_blob(F.col("output")), F.lit(" "), _blob(F.col("error"))))
     rows = rows.withColumn("evidence", F.when(is_("tool_result") | is_("state_probe"), _blob(F.col("output")))).withColumn("asked", F.when(is_("tool_call") & write, _blob(F.col("args"))))
     n = lambda c: F.count_if(c).cast("double")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewright.functions.values import kind
-from tracewright.sources.folders import Folder
+from tracewright.sources.folders import Folder, pinned
 
 # The form of a trace line.
 FORMAT = "agent-trace/v1"
@@ -55,16 +55,20 @@ def _error(bad: Column, path: Column | str, message: str) -> Column:
 
 def _keys(v: Column, allowed: tuple[str, ...], required: tuple[str, ...], path: Column | str) -> list[Column]:
     """Errors of an object: its type, unknown keys and missing ones."""
-    names = F.coalesce(F.json_object_keys(F.to_json(v)), F.array().cast("array<string>"))
-    is_object = F.coalesce(kind(v).startswith("OBJECT"), F.lit(False))
+    fields = F.try_variant_get(v, "$", "map<string,variant>")
+    names, is_object = F.coalesce(F.map_keys(fields), F.array().cast("array<string>")), fields.isNotNull()
     out = [_error(~is_object, path, "not an object"), _error(is_object & (F.size(F.array_except(names, F.array(*(F.lit(a) for a in allowed)))) > 0), path, "unknown key")]
     return out + [_error(is_object & ~F.array_contains(names, r), path, f"{r} is missing") for r in required]
 
 
 def _is(v: Column, types: str, optional: bool = False) -> Column:
     """Whether a value has one of the types; what is optional may be missing or null."""
-    ok = F.coalesce(kind(v).rlike(f"^({types})"), F.lit(False))
-    return ok | (v.isNull() | F.coalesce(kind(v) == "VOID", F.lit(False))) if optional else ok
+    # Containers by a cast that only they survive; the schema of a large value would be worked out in full.
+    ways = {"OBJECT": "map<string,variant>", "ARRAY": "array<variant>"}
+    ok = F.lit(False)
+    for t in types.split("|"):
+        ok = ok | (F.try_variant_get(v, "$", ways[t]).isNotNull() if t in ways else F.coalesce(kind(v) == t, F.lit(False)))
+    return ok | (v.isNull() | F.coalesce(F.is_variant_null(v), F.lit(False))) if optional else ok
 
 
 def _choice(v: Column, values: tuple[str, ...], path: Column | str) -> Column:
@@ -103,7 +107,7 @@ def line_errors(v: Column) -> Column:
     errors += [F.when(final.isNotNull(), e) for e in _keys(final, ("text", "claims"), ("text",), "$.final_claim")]
     errors += [_error(~_is(get("final_claim.text"), "STRING", True), "$.final_claim.text", "not a text"), _error(get("final_claim.claims").isNotNull() & ~_is(get("final_claim.claims"), "ARRAY"), "$.final_claim.claims", "not a list")]
     truth = get("ground_truth")
-    there = truth.isNotNull() & (kind(truth) != "VOID")
+    there = truth.isNotNull() & ~F.is_variant_null(truth)
     errors += [F.when(there, e) for e in _keys(truth, ("outcome", "checked_by", "details"), ("outcome", "checked_by"), "$.ground_truth")]
     errors += [F.when(there, _choice(get("ground_truth.outcome"), LABELS, "$.ground_truth.outcome")), F.when(there, _choice(get("ground_truth.checked_by"), CHECKED_BY, "$.ground_truth.checked_by"))]
     errors += [_error(get("steps").isNotNull() & ~_is(get("steps"), "ARRAY"), "$.steps", "not a list"), _error(~_is(get("meta"), "OBJECT", True), "$.meta", "not an object")]
@@ -155,7 +159,8 @@ def validate(lines: DataFrame) -> Loaded:
     place = ["file", "line_no"] if "file" in lines.columns else ["line_no"]
     parsed = lines.where(F.trim("value") != "").withColumn("v", F.try_parse_json("value"))
     form = F.when(F.col("v").isNull(), F.array(F.struct(F.lit("$").alias("json_path"), F.lit("invalid JSON").alias("message")))).otherwise(line_errors(F.col("v")))
-    formed = parsed.withColumn("errors", form).withColumn("trace_id", F.when(F.size("errors") == 0, _at(F.col("v"), "$.trace_id", "string")))
+    # Lines are checked once: what follows, and whoever reads steps, claims or errors later, reads this table.
+    formed = pinned(parsed.withColumn("errors", form).drop("value"), "lines").withColumn("trace_id", F.when(F.size("errors") == 0, _at(F.col("v"), "$.trace_id", "string")))
     first = F.when(F.col("trace_id").isNotNull(), F.min(F.struct(*place)).over(Window.partitionBy("trace_id")))
     places = F.transform(_at(F.col("v"), "$.steps", "array<variant>"), lambda s: _at(s, "$.i", "bigint"))
     steady = F.forall(F.sequence(F.lit(1), F.size("places") - 1), lambda k: F.get("places", k) > F.get("places", k - 1))
