@@ -43,3 +43,22 @@ def test_substring_dedup_of_repeated_rows(spark):
     df = spark.createDataFrame([(7, text)] * 1000 + [(3, text)], "doc_id long, text string").repartition(4)
     got = {(r.doc_id, r.n_removed): r["count"] for r in substring_dedup.dedup_substrings(df).groupBy("doc_id", "n_removed").count().collect()}
     assert got == {(7, 300): 1000, (3, 0): 1}
+
+
+def test_license_scan_of_very_many_notices():
+    """Time follows the number of notices in one text, and each is found at its place in code points."""
+    from tracewright.llm import license_scan
+
+    index = license_scan.TemplateIndex(license_scan.TEMPLATES)
+    name, notice = next((n, t[0] if not isinstance(t, str) else t) for n, t in license_scan.TEMPLATES.items())
+    took = {}
+    for n in (4000, 16_000):
+        unit = f"é {notice} ñandú. "
+        found = license_scan.texts_of(__import__("pyarrow").array([unit * n]))
+        words = license_scan.words_of(found, license_scan._GAP)
+        hashes = words.hashes(lower=True)
+        began = time.perf_counter()
+        spans = license_scan.spans_of(index, hashes, license_scan.rolling(hashes, license_scan.GRAM, 0x1B873593CC9E2D51), license_scan.COVERAGE)
+        took[n] = time.perf_counter() - began
+        assert sum(s[0] == name for s in spans) >= n and all(a[3] <= b[2] for a, b in zip(spans, spans[1:], strict=False))
+    assert took[16_000] < 8 * took[4000] + 1

@@ -8,6 +8,7 @@ seen. Around each group of hits on neighbouring diagonals the template is aligne
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator, Mapping
 
 import numpy as np
@@ -109,18 +110,20 @@ def _gap(cell: tuple[int, int, int] | None) -> tuple[int, int, int]:
 def spans_of(index: TemplateIndex, words: np.ndarray, grams: np.ndarray, coverage: float) -> list[tuple[str, float, int, int]]:
     """(license, coverage, first word, end word) of a document, the best of those that overlap, in order."""
     at, owner, place = index.hits(grams)
-    order = np.lexsort((at, at - place, owner))
+    line = at - place
+    order = np.lexsort((at, line, owner)).tolist()
+    at, line, owner = at.tolist(), line.tolist(), owner.tolist()
     found = []
     k = 0
     while k < len(order):
         first = last = order[k]
         j = k + 1
         # Hits of one template on diagonals within the band of the last one and within its length are one candidate.
-        while j < len(order) and owner[order[j]] == owner[first] and (at - place)[order[j]] - (at - place)[last] <= BAND and abs(at[order[j]] - at[first]) <= len(index.words[owner[first]]) + BAND:
+        while j < len(order) and owner[order[j]] == owner[first] and line[order[j]] - line[last] <= BAND and abs(at[order[j]] - at[first]) <= len(index.words[owner[first]]) + BAND:
             last = order[j]
             j += 1
         template = index.words[owner[first]]
-        low, high = int(at[first] - place[first]), int(at[last] - place[last])
+        low, high = line[first], line[last]
         begin = max(0, low - BAND)
         part = words[begin : high + len(template) + BAND].tolist()
         # A short notice may stand there several times: before and after each span the rest of the part is aligned again.
@@ -131,15 +134,16 @@ def spans_of(index: TemplateIndex, words: np.ndarray, grams: np.ndarray, coverag
                 continue
             matched, start, end = aligned(template, part[a:b], (low + high) // 2 - begin - a, BAND + (high - low + 1) // 2)
             if matched and matched >= coverage * len(template):
-                found.append((matched, len(template), int(owner[first]), begin + a + start, begin + a + end))
+                found.append((matched, len(template), owner[first], begin + a + start, begin + a + end))
                 rests += [(a, a + start), (a + end, b)]
         k = j
     found.sort(key=lambda f: (-f[0], -f[0] / f[1], f[2], f[3]))
-    kept: list[tuple[int, int, int, int, int]] = []
+    kept: list[tuple[int, int, tuple]] = []  # apart from each other, in order
     for f in found:
-        if all(f[4] <= g[3] or f[3] >= g[4] for g in kept):
-            kept.append(f)
-    return [(index.names[f[2]], f[0] / f[1], f[3], f[4]) for f in sorted(kept, key=lambda f: f[3])]
+        k = bisect_left(kept, (f[3], f[4]))
+        if (k == 0 or kept[k - 1][1] <= f[3]) and (k == len(kept) or f[4] <= kept[k][0]):
+            kept.insert(k, (f[3], f[4], f))
+    return [(index.names[f[2]], f[0] / f[1], f[3], f[4]) for _, _, f in kept]
 
 
 _SPANS = pa.list_(pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("start", pa.int64()), ("end", pa.int64())]))
@@ -161,10 +165,11 @@ def _scanned(index: TemplateIndex, coverage: float):
                     a, b = int(w.first[k]), int(w.first[k + 1])
                     spans = spans_of(index, hashes[a:b], grams[a : b - GRAM + 1], coverage) if b - a >= GRAM and hit[b - GRAM + 1] > hit[a] else []
                     out = []
+                    if spans:  # code points before each byte
+                        points = np.append(0, np.cumsum((w.buf[w.bounds[k] : w.bounds[k + 1]] & 0xC0) != 0x80))
                     for name, share, start, end in spans:
-                        text = texts[i + k]
-                        lo, hi = int(w.starts[a + start] - w.bounds[k]), int(w.ends[a + end - 1] - w.bounds[k])
-                        out.append({"license": name, "coverage": share, "start": len(text[:lo].decode("utf-8", "replace")), "end": len(text[:hi].decode("utf-8", "replace"))})
+                        lo, hi = w.starts[a + start] - w.bounds[k], w.ends[a + end - 1] - w.bounds[k]
+                        out.append({"license": name, "coverage": share, "start": int(points[lo]), "end": int(points[hi])})
                     rows.append(out)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(rows, _SPANS)], ["doc_id", "spans"])
 
