@@ -706,17 +706,22 @@ def val_7_step_count_auroc(spark, d):
     return dataset.step_count_auroc(at.steps(spark, d), labels).select("n_pos", "n_neg", _r(F.col("auroc"), "auroc"))
 
 
+def _made(spark, d) -> DataFrame:
+    return generator.generate(spark, ids=at.table(spark, d, "customer").select(F.col("c_custkey").alias("id")))
+
+
 @query()
 def gen_2_plan(spark, d):
-    return generator.generate(spark, 3000).groupBy("domain", "split", "kind", "evidence", "label").agg(F.count("*").alias("n"))
+    """The design's cells over a trace for each customer."""
+    return _made(spark, d).groupBy("domain", "split", "kind", "evidence", "label").agg(F.count("*").alias("n"))
 
 
 @query()
 def gen_5_outcomes(spark, d):
-    """The rules on generated traces, by kind."""
+    """The rules on a trace for each customer, by kind."""
     from tracewright.sources.packs import builtin_packs
 
-    made = generator.generate(spark, 600)
+    made = _made(spark, d)
     traces, steps, claims = generator.as_tables(made)
     out = rules.worst_outcomes(rules.evaluate_claims(claims, steps, traces, builtin_packs()))
     return out.join(made.select("trace_id", "kind", "evidence"), "trace_id").groupBy("kind", "evidence", "outcome").agg(F.count("*").alias("n"))

@@ -21,15 +21,15 @@ def _step(kind: str, role: str, name: Column | None = None, content: Column | No
     return F.struct(*((none if c is None else c).alias(k) for k, c in parts.items())).cast(STEP)
 
 
-def generate(spark: SparkSession, n: int, seed: int = 0, partitions: int | None = None) -> DataFrame:
-    """n traces: trace_id, domain, split, kind, evidence, label (1: success), instruction, final_text, claim_type, subject (JSON) and steps.
+def generate(spark: SparkSession, n: int = 0, seed: int = 0, partitions: int | None = None, ids: DataFrame | None = None) -> DataFrame:
+    """n traces, or one for each row of ids (id): trace_id, domain, split, kind, evidence, label (1: success), instruction, final_text, claim_type, subject (JSON) and steps.
 
     Three in five are genuine; two in three of all were probed; a third are in the test split. Every id has the same form, so it
     tells nothing of the label.
     """
     draw = lambda name, size: F.pmod(F.xxhash64(F.lit(seed), F.lit(name), F.col("id")), F.lit(size))
     pick = lambda values, k: F.element_at(F.array(*(F.lit(v) for v in values)), (k + 1).cast("int"))
-    rows = spark.range(0, n, 1, partitions) if partitions else spark.range(n)
+    rows = ids.select(F.col("id").cast("long").alias("id")) if ids is not None else spark.range(0, n, 1, partitions) if partitions else spark.range(n)
     rows = rows.withColumn("domain", pick(list(_TOOLS), draw("domain", 3))).withColumn("label", (draw("label", 5) < 3).cast("int"))
     rows = rows.withColumn("kind", F.when(F.col("label") == 1, pick(GENUINE, draw("kind", 3))).otherwise(pick(FALSE, draw("kind", 6))))
     rows = rows.withColumn("evidence", F.when(draw("probe", 3) < 2, "state_probe").otherwise("receipt_only")).withColumn("split", F.when(draw("split", 3) < 2, "train").otherwise("test"))
