@@ -103,3 +103,24 @@ def test_pipeline_judges_rows(spark, tmp_path):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(1)
     out = corpus_pipeline.STAGES[1][1](spark, docs, str(tmp_path)).collect()
     assert sorted(filter(None, (r.text for r in out))) == words and sum(not r.text for r in out) == 3
+
+
+def test_stages_leave_no_tables_behind(spark, tmp_path):
+    """What a stage needed for its result goes when the next one begins, but not what that one's documents read."""
+    from tracewright.llm import storage
+    from tracewright.sources.folders import shared_folder
+
+    labels(spark).write.parquet(str(tmp_path / "labels.parquet"))
+    words = [" ".join(f"{a}{i}" for i in range(60)) for a in "abcdefgh"]
+    spark.createDataFrame([(k, w, "en", f"s{k % 2}", len(w)) for k, w in enumerate(words + words[:3])], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    there = lambda: {p.name for p in __import__("pathlib").Path(shared_folder(spark).removeprefix("file:").replace("//", "/") + "/tracewright").glob("*")}
+    storage.release(spark.read.parquet(str(tmp_path / "documents.parquet")))
+    before = there()
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / f"out{k}"))
+        docs = spark.read.parquet(str(tmp_path / f"out{k}"))
+    storage.release(docs)
+    assert there() <= before
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.count() == docs.count() and out.count() > 0

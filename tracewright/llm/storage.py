@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import tempfile
 import threading
 import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tracewright.sources.folders import shared_folder
+
 #: Tables (session, path, catalog name or None) that go when the driver ends.
 _WRITTEN: list[tuple[SparkSession, str, str | None]] = []
 _OPEN = threading.local()
@@ -18,22 +19,6 @@ _OPEN = threading.local()
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session.
-
-    Where it is unset, a session on one machine (tests) gets a temporary folder; on a cluster that is an error, as executors
-    don't see each other's temporary folders.
-    """
-    context = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not found:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='tracewright-')}")
-        found = context.getCheckpointDir()
-    return found
-
-
 def delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
@@ -75,6 +60,35 @@ class scratch:
         _drop(self.mine)
 
 
+#: Tables that stages of a pipeline have left behind.
+_LEFT: list[tuple[SparkSession, str, str | None]] = []
+
+
+@contextlib.contextmanager
+def staged() -> Iterator[None]:
+    """Tables written inside the block are left to `release`: the block's result reads them, so they stay for now."""
+    mine: list[tuple[SparkSession, str, str | None]] = []
+    _scopes().append(mine)
+    try:
+        yield
+    finally:
+        _scopes().pop()
+        _LEFT.extend(mine)
+
+
+def release(docs: DataFrame) -> None:
+    """Drop what earlier stages have left, but for tables that docs reads: the next stage begins when docs, their result, is written."""
+    if not _LEFT:
+        return
+    read = docs.inputFiles()
+    if not read:  # rows from elsewhere: who knows what is still to be read
+        return
+    still = [t for t in _LEFT if any(t[1].rpartition("/")[2] in f for f in read)]
+    gone = [t for t in _LEFT if t not in still]
+    _LEFT[:] = still
+    _drop(gone)
+
+
 @contextlib.contextmanager
 def _dropping_shuffles(spark: SparkSession) -> Iterator[None]:
     before = spark.conf.get(_CLEANUP, None)
@@ -112,7 +126,7 @@ def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
 
 @atexit.register
 def _clean() -> None:
-    for table in _WRITTEN:
+    for table in [*_WRITTEN, *_LEFT]:
         try:
             _drop([table])
         except Exception:  # the session has ended already; the folder's owner clears it
