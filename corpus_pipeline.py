@@ -1,17 +1,33 @@
 """From raw documents to packed training sequences, in five stages.
 
 Each stage takes (spark, docs, sf_dir), docs being all that the stage before it kept, and returns a DataFrame that is written
-as Parquet and read again for the next one. All stages but the last return the columns of documents.
+as Parquet and read again for the next one. All stages but the last return the columns of documents. When a stage begins, the tables
+that stages before it needed for their result go, as that result is a table by then; those that its docs read stay.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.llm import mixing, near_dedup, packing, quality_classifier, secret_scan
 from tracewright.llm.registry import tokenizer_folder
-from tracewright.llm.storage import written
+from tracewright.llm.storage import release, staged, written
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _stage(function: Stage) -> Stage:
+    @wraps(function)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(docs)
+        with staged():
+            return function(spark, docs, sf_dir)
+
+    return run
 
 
 def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
@@ -22,6 +38,7 @@ def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     return written(docs.withColumn(name, F.monotonically_increasing_id()), "rows"), name
 
 
+@_stage
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go.
 
@@ -32,6 +49,7 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return quality_classifier.keep_good(docs, quality_classifier.train(docs, labels))
 
 
+@_stage
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, the first row: five-word shingles, similarity 0.8.
 
@@ -43,6 +61,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return rows.join(groups.where("NOT kept").select(F.col("doc_id").alias(row)), row, "left_anti").select(docs.columns)
 
 
+@_stage
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in the texts are masked, and n_chars of those texts counted anew; every row stays.
 
@@ -51,6 +70,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return secret_scan.redact_secrets(docs)
 
 
+@_stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row as often as the mix takes it; one that the mix cuts goes in whole, one that it doesn't reach goes.
 
@@ -63,6 +83,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rows.join(taken.select(F.col("doc_id").alias(row), F.explode(F.sequence(F.lit(1).cast("long"), copies)).alias("copy")).select(row), row).select(docs.columns)
 
 
+@_stage
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the mix in sequences of 2048 tokens, each row packed as often as it stands there.
 
@@ -87,5 +108,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        found = stage(spark, docs, sf_dir)
+        with staged():
+            docs = written(found, name)
     return STAGES[-1][1](spark, docs, sf_dir)
