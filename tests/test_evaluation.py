@@ -61,9 +61,10 @@ def test_report_equals_figures_of_each_part(spark):
 
 def test_twelve_digits(spark):
     rng = random.Random(0)
-    values = [rng.random() * 10 ** rng.randint(-12, 12) for _ in range(500)] + [0.0, 1.0, -0.1 + 0.3, 1e300, 5e-324]
+    values = [rng.random() * 10 ** rng.randint(-12, 12) for _ in range(500)] + [0.0, 1.0, -0.1 + 0.3, 1e300, 5e-324, -2.5]
     got = [r.x for r in spark.createDataFrame([(v,) for v in values], "v double").select(assembly.significant(F.col("v")).alias("x")).collect()]
     assert got == [float(f"{v:.12g}") for v in values]
+    assert spark.createDataFrame([(None,)], "v double").select(assembly.significant(F.col("v")).alias("x")).first().x is None
 
 
 def test_artifacts_are_strict(spark, tmp_path):

@@ -20,7 +20,7 @@ FIGURES = ("n", "n_failure", "caught", "missed", "false_alarms", "sent_to_review
 
 def significant(x: Column, digits: int = 12) -> Column:
     """A double rounded to so many significant digits, so that the last bits of sums in another order don't show."""
-    return F.format_string(f"%.{digits - 1}e", x).cast("double")
+    return F.when(x.isNotNull(), F.format_string(f"%.{digits - 1}e", x).try_cast("double"))
 
 
 def _counted(predictions: DataFrame, cuts: Sequence[str]) -> DataFrame:
