@@ -115,42 +115,52 @@ def features(steps: DataFrame, traces: DataFrame, claims: DataFrame) -> DataFram
     """trace_id, domain and the 28 FEATURES of each trace.
 
     traces: trace_id, domain, instruction, final_text. claims: trace_id, source (structured or extracted).
-    One conditional aggregation over the steps, after windows by trace.
+    What a step's values say is settled where steps are read, so that flags and search texts are shuffled and not values; then
+    windows by trace, and one conditional aggregation.
     """
-    whole = Window.partitionBy("trace_id")
     is_ = lambda k: F.col("kind") == k
-    write = F.coalesce(F.col("name").rlike(f"(?i){WRITE_VERBS}"), F.lit(False))
+    results, calls, probes = is_("tool_result"), is_("tool_call"), is_("state_probe")
+    out = F.when(results | probes, _blob(F.col("output")))
+    empty = F.col("output").isNull() | F.to_json("output").isin("{}", "[]", '""', "null")
+    read = steps.withColumns({"write": F.coalesce(F.col("name").rlike(f"(?i){WRITE_VERBS}"), F.lit(False)), "bad": failed(), "good": succeeded(), "evidence": out})
+    read = read.withColumn("blob", F.when(results | probes, F.concat("evidence", F.lit(" "), _blob(F.col("error")))))
+    said_by = lambda which, words: F.coalesce(which & _any(F.col("blob"), words), F.lit(False))
+    read = read.select(
+        "trace_id", "i", "kind", "name", "write", "bad", "good", "evidence", (is_("message") & F.coalesce(F.col("role") == "agent", F.lit(False))).alias("spoken"),
+        F.when(calls & F.col("write"), _blob(F.col("args"))).alias("asked"), F.when(results & F.col("write"), _has_id(F.col("output"))).alias("receipt"),
+        F.when(probes, empty | said_by(probes, NOT_FOUND_WORDS)).alias("nothing"), said_by(results, ERROR_WORDS).alias("hit"),
+        said_by(results, STATUS_WORDS).alias("pending"), said_by(results, REVIEWER_PHRASES).alias("reviewer"),
+    )
+    whole = Window.partitionBy("trace_id")
     # One exchange for all: a trace's steps are together, and so are those of one name.
-    paired = pair_results(steps.repartition("trace_id"))
+    paired = pair_results(read.repartition("trace_id"))
     # The next step that is no message, seen from each step: backwards the frame only grows, so a long trace takes linear time.
     follow = Window.partitionBy("trace_id").orderBy(F.col("i").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    step = F.struct("kind", "name")
-    result_ok = F.max(F.when(is_("tool_result") & write & succeeded(), F.col("i"))).over(whole)
-    last_write_call = F.max(F.when(is_("tool_call") & write, F.col("i"))).over(whole)
-    rows = paired.withColumns({"next": F.last(F.when(~is_("message"), step), ignorenulls=True).over(follow), "last_ok_write": result_ok, "last_write_call": last_write_call})
-    rows = rows.withColumn("blob", F.concat(_blob(F.col("output")), F.lit(" "), _blob(F.col("error"))))
-    rows = rows.withColumn("evidence", F.when(is_("tool_result") | is_("state_probe"), _blob(F.col("output")))).withColumn("asked", F.when(is_("tool_call") & write, _blob(F.col("args"))))
+    write = F.col("write")
+    rows = paired.withColumns(
+        {
+            "next": F.last(F.when(~is_("message"), F.struct("kind", "name")), ignorenulls=True).over(follow),
+            "last_ok_write": F.max(F.when(results & write & F.col("good"), F.col("i"))).over(whole),
+            "last_write_call": F.max(F.when(calls & write, F.col("i"))).over(whole),
+        }
+    )
     n = lambda c: F.count_if(c).cast("double")
     flag = lambda c: F.coalesce(F.max(c.cast("int")), F.lit(0)).cast("double")
-    last = lambda what, when: F.coalesce(F.max_by(F.struct(what.cast("int").alias("x")), F.when(when, F.col("i")))["x"], F.lit(0)).cast("double")
-    retry = is_("tool_result") & (F.coalesce("name", F.lit("")) != "") & failed() & F.coalesce((F.col("next")["kind"] == "tool_call") & (F.col("next")["name"] == F.col("name")), F.lit(False))
-    empty = F.col("output").isNull() | F.to_json("output").isin("{}", "[]", '""', "null")
-    results = is_("tool_result")
+    last = lambda what, when: F.coalesce(F.max_by(F.struct(F.col(what).cast("int").alias("x")), F.when(when, F.col("i")))["x"], F.lit(0)).cast("double")
+    retry = results & (F.coalesce("name", F.lit("")) != "") & F.col("bad") & F.coalesce((F.col("next")["kind"] == "tool_call") & (F.col("next")["name"] == F.col("name")), F.lit(False))
     share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
     joined = lambda c: F.concat_ws(" ", F.collect_list(c))
     agg = rows.groupBy("trace_id").agg(
-        n(F.lit(True)).alias("n_steps"), n(is_("tool_call")).alias("n_tool_calls"), n(results).alias("n_tool_results"), n(is_("state_probe")).alias("n_state_probes"),
-        n(is_("message") & (F.col("role") == "agent")).alias("n_agent_messages"), n(results & failed()).alias("n_failed_results"), last(succeeded(), results).alias("last_result_succeeded"),
-        flag(results & failed() & F.coalesce(F.col("i") > F.col("last_ok_write"), F.lit(False))).alias("failure_after_last_write"),
-        n(is_("tool_call") & write).alias("n_write_calls"), n(is_("tool_call") & ~write).alias("n_read_calls"),
-        n(results & write & succeeded()).alias("ok_writes"), n(results & write).alias("writes"),
-        last(succeeded(), results & (F.col("call_i") == F.col("last_write_call"))).alias("last_write_succeeded"),
-        n(retry).alias("n_retries"), flag(results & write & _has_id(F.col("output"))).alias("receipt_id_present"),
+        n(F.lit(True)).alias("n_steps"), n(calls).alias("n_tool_calls"), n(results).alias("n_tool_results"), n(probes).alias("n_state_probes"),
+        n(F.col("spoken")).alias("n_agent_messages"), n(results & F.col("bad")).alias("n_failed_results"), last("good", results).alias("last_result_succeeded"),
+        flag(results & F.col("bad") & F.coalesce(F.col("i") > F.col("last_ok_write"), F.lit(False))).alias("failure_after_last_write"),
+        n(calls & write).alias("n_write_calls"), n(calls & ~write).alias("n_read_calls"),
+        n(results & write & F.col("good")).alias("ok_writes"), n(results & write).alias("writes"),
+        last("good", results & (F.col("call_i") == F.col("last_write_call"))).alias("last_write_succeeded"),
+        n(retry).alias("n_retries"), flag(F.col("receipt")).alias("receipt_id_present"),
         n(F.coalesce(F.col("i") > F.col("last_write_call"), F.lit(False))).alias("steps_after_last_write"),
-        flag(is_("state_probe")).alias("probe_present"), last(succeeded(), is_("state_probe")).alias("probe_succeeded"),
-        last(empty | _any(F.col("blob"), NOT_FOUND_WORDS), is_("state_probe")).alias("probe_empty_or_not_found"),
-        n(results & _any(F.col("blob"), ERROR_WORDS)).alias("error_keyword_hits"), flag(results & _any(F.col("blob"), STATUS_WORDS)).alias("pending_status_present"),
-        flag(results & _any(F.col("blob"), REVIEWER_PHRASES)).alias("reviewed"),
+        flag(probes).alias("probe_present"), last("good", probes).alias("probe_succeeded"), last("nothing", probes).alias("probe_empty_or_not_found"),
+        n(F.col("hit")).alias("error_keyword_hits"), flag(F.col("pending")).alias("pending_status_present"), flag(F.col("reviewer")).alias("reviewed"),
         joined("evidence").alias("evidence"), joined("asked").alias("asked"),
     )
     extracted = F.max((F.col("source") == "extracted").cast("double")) if "source" in claims.columns else F.lit(0.0)
