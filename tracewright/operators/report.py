@@ -81,30 +81,31 @@ def contained(passages: DataFrame, texts: DataFrame, words: int = 5, apart: bool
     """(passage_id, text_id) where a passage (passage_id, passage) is part of a text (text_id, body); apart: only of texts of another side (side, in both).
 
     A passage of `words` + 2 words or more holds whole words inside its first and last one. Its first `words` of these are
-    looked up among the runs of words of the texts; a shorter one, by its first letters among all runs of so many letters. Texts send their distinct runs
-    that some passage has, both are equi-joins, and what meets is settled by the texts themselves. The empty passage is part of every text.
+    looked up among the runs of words of the texts; a shorter one, by its first letters among all runs of so many letters. Texts send the runs
+    that some passage has, once for each passage, both are equi-joins, and what meets is settled by the texts themselves. The empty passage is part of every text.
     """
-    split = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
+    # Words as hashes: a run's key is made of its words' hashes, so no run is put together as a text.
+    split = lambda c: F.transform(F.filter(F.split(c, r"\s+"), lambda w: w != ""), lambda w: F.xxhash64(w))
     side = ["side"] if apart else []
     p = passages.where("passage IS NOT NULL").withColumn("w", split("passage")).select("passage_id", "passage", *side, "w", F.least(F.char_length("passage"), F.lit(_LETTERS)).alias("n"))
     by_words = F.size("w") >= words + 2
-    key = F.when(by_words, F.xxhash64(F.array_join(F.slice("w", 2, words), " "))).otherwise(F.xxhash64(F.col("n"), F.substr("passage", F.lit(1), F.col("n"))))
+    key = F.when(by_words, F.xxhash64(*(F.get("w", F.lit(1 + j)) for j in range(words)))).otherwise(F.xxhash64(F.col("n"), F.substr("passage", F.lit(1), F.col("n"))))
     keyed = p.select("passage_id", *(F.col(c).alias("own") for c in side), F.when(by_words, -1).otherwise(F.col("n")).alias("n"), key.alias("key"))
     kinds = {r.n for r in keyed.select("n").distinct().collect()}  # _LETTERS + 2 at most
 
-    def among(items: str, n: int, mark: int | None, joint: str) -> Column:
-        """Keys of the runs of n items: words, or letters with their number as a mark."""
-        places = F.sequence(F.lit(1), F.greatest(F.size(items) - n + 1, F.lit(1)))
-        run = lambda k: F.array_join(F.slice(items, k, n), joint)
-        return F.transform(places, (lambda k: F.xxhash64(run(k))) if mark is None else (lambda k: F.xxhash64(F.lit(mark), run(k))))
+    def letter_runs(n: int) -> Column:
+        """Keys of the runs of n letters, marked with their number."""
+        places = F.sequence(F.lit(1), F.greatest(F.size("letters") - n + 1, F.lit(1)))
+        return F.transform(places, lambda k: F.xxhash64(F.lit(n), F.array_join(F.slice("letters", k, n), "")))
 
-    runs = [among("w", words, None, " ")] if -1 in kinds else []
-    runs += [among("letters", n, n, "") for n in sorted(kinds - {-1})]
+    # The last few runs of a text are short ones, which are no passage's key but by chance.
+    runs = [F.transform("w", lambda w, k: F.xxhash64(w, *(F.get("w", k + j) for j in range(1, words))))] if -1 in kinds else []
+    runs += [letter_runs(n) for n in sorted(kinds - {-1})]
     if not runs:
         return passages.select("passage_id").crossJoin(texts.select("text_id")).limit(0)
     # Columns of their own, so that a text is split once and not for each run.
     parted = texts.where("body IS NOT NULL").withColumn("w", split("body")).withColumn("letters", F.split("body", "", -1) if kinds - {-1} else F.lit(None).cast("array<string>"))
-    each = parted.select("text_id", *side, F.explode(F.array_distinct(F.flatten(F.array(*runs)))).alias("key"))
+    each = parted.select("text_id", *side, F.explode(runs[0] if len(runs) == 1 else F.flatten(F.array(*runs))).alias("key"))
     # The keys of the passages go to the texts' runs first, which Spark does by broadcast while they are few.
     found = each.join(keyed.drop("n"), "key")
     if apart:
