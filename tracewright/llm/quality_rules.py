@@ -80,7 +80,7 @@ def judge_quality(docs: DataFrame) -> DataFrame:
 
     docs needs doc_id, text, lang and source; other columns are ignored. Returns doc_id, n_words, word_chars, n_symbols,
     n_dup_lines, n_repeat_words, base_failed, the fences of its language and source, and kept. Sketches are of the documents
-    that pass the base rules. Null and empty texts have no words, so they fail the base rules. A null language or source is
+    that pass the base rules; a language and source with fewer than LEAST_GROUP of them takes its language's fences, and a language with fewer the corpus's. Null and empty texts have no words, so they fail the base rules. A null language or source is
     a group of its own. Repeated rows get equal results. An empty table gives an empty result.
     """
     doc_id = docs.schema["doc_id"].dataType.simpleString()
