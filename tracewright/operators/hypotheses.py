@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tracewright.functions.scores import gate
 from tracewright.operators.metrics import auroc, calibration, decision_stats
 from tracewright.operators.training import fit_left_out, probabilities, vector
+from tracewright.sources.folders import pinned
 
 BASELINES = ("trust-agent", "any-error")
 
@@ -57,6 +58,7 @@ def leave_domain_out(rows: DataFrame, features: Sequence[str], c: float, domains
     names = list(dict.fromkeys(domains))
     part = F.coalesce(*(F.when(F.col("domain") == d, F.lit(k)) for k, d in enumerate(names)), F.lit(-1)).cast("long")
     each = rows.select("trace_id", "domain", F.col("label").cast("int").alias("label"), part.alias("part"), vector(features))
+    each = pinned(each, "features")  # worked out once, for the fits and the scores
     fitted = fit_left_out(each.select("part", "label", "x"), features, [(c, k) for k in range(len(names))])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
