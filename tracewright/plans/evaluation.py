@@ -12,7 +12,7 @@ from tracewright.plans.catalog import _LONG, _RESULTS, _r, _results, f_features,
 from tracewright.plans.sql import auroc_sql, over
 from tracewright.sources import artifacts
 from tracewright.sources import traces as trace_source
-from tracewright.sources.folders import scratch_path
+from tracewright.sources.folders import pinned, scratch_path
 from tracewright.sources.packs import Check
 
 
@@ -197,7 +197,7 @@ def _training_rows(spark, d) -> DataFrame:
 @query(f"SELECT feature, round(avg(value), 6) AS mean, round(CASE WHEN stddev_pop(value) = 0 THEN 1.0 ELSE stddev_pop(value) END, 6) AS scale, true AS same FROM {_LONG} l JOIN ({over('traces', 'SELECT trace_id, gt_outcome FROM traces')}) t USING (trace_id) WHERE gt_outcome <> 'unknown' GROUP BY feature")
 def trn_7_artifact(spark, d):
     """The classifier's artifact, loaded, by feature; same: a fit of the same rows in other partitions is within the tolerance of it."""
-    rows, path = _training_rows(spark, d), scratch_path(spark, "artifact")
+    rows, path = pinned(_training_rows(spark, d), "training"), scratch_path(spark, "artifact")
     made = artifacts.ArtifactFolder(spark, path)
     made.save(made.MODEL, artifacts.model_object(training.fit(rows, step_ops.FEATURES, 0.1), 0.1, {0.1: 0.0}, rows.count()))
     loaded = artifacts.ArtifactFolder(spark, path).model()
