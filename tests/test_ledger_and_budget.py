@@ -132,3 +132,12 @@ def test_one_run_of_very_many_requests(spark):
     got = budget.admit(df, 90_000.0).groupBy("admitted").agg(F.count("*").alias("n"), F.sum("amount").alias("usd")).collect()
     by = {r.admitted: (r.n, r.usd) for r in got}
     assert by[True][1] == 90_000.0 and by[True][0] + by[False][0] == 1_000_000
+
+
+def test_totals_sort_events_once_and_without_fixed_limits(spark):
+    df = spark.createDataFrame([("r", 1, "reserve", "a", 2.0), ("r", 1, "settle", "a", 1.5), ("r", 2, "reserve", "b", 9.0), (None, 1, "reserve", "a", 3.0)], "run string, seq long, event string, id string, amount double")
+    for most in (5.0, F.lit(5.0)):
+        totals = {r.run: r for r in budget.run_totals(budget.fold_events(df, most)).collect()}
+        assert tuple(totals["r"])[1:] == (1, 1, 1, 0, 1.5, 0.0) and tuple(totals[None])[1:] == (1, 0, 0, 0, 0.0, 3.0)
+    plan = budget.run_totals(budget.fold_events(df, 5.0))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 1 and "SortAggregate" not in plan and "AS most" not in plan

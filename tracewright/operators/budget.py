@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EVENTS = ("reserve", "settle", "release")
-RESULT = "run string, seq long, event string, id string, amount double, status string, spent double, outstanding double"
+LIMITS = ("most", "cap", "already")
+RESULT = "run string, seq long, event string, id string, amount double, status string, spent double, outstanding double, place long"
 
 
 class RunBudget:
@@ -49,21 +50,27 @@ class RunBudget:
         return "released"
 
 
-def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    run, state = object(), None
-    for batch in batches:
-        runs, events, ids, amounts, most, caps, already = (batch.column(n).to_pylist() for n in ("run", "event", "id", "amount", "most", "cap", "already"))
-        status, spent, outstanding = [], [], []
-        for k, name in enumerate(runs):
-            if state is None or name != run:
-                run, state = name, RunBudget(already[k] or 0.0)
-            status.append(state.apply(events[k], ids[k], amounts[k] or 0.0, most[k], caps[k]) if events[k] in EVENTS else "invalid")
-            spent.append(state.spent)
-            outstanding.append(state.outstanding)
-        yield pa.RecordBatch.from_arrays(
-            [*(batch.column(n) for n in ("run", "seq", "event", "id", "amount")), pa.array(status, pa.string()), pa.array(spent, pa.float64()), pa.array(outstanding, pa.float64())],
-            ["run", "seq", "event", "id", "amount", "status", "spent", "outstanding"],
-        )
+def _folded(fixed: dict[str, float | None]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state, place = object(), None, 0
+        for batch in batches:
+            limit = {n: [fixed[n]] * batch.num_rows if n in fixed else batch.column(n).to_pylist() for n in LIMITS}
+            runs, events, ids, amounts = (batch.column(n).to_pylist() for n in ("run", "event", "id", "amount"))
+            status, spent, outstanding, places = [], [], [], []
+            for k, name in enumerate(runs):
+                if state is None or name != last:
+                    last, state, place = name, RunBudget(limit["already"][k] or 0.0), 0
+                status.append(state.apply(events[k], ids[k], amounts[k] or 0.0, limit["most"][k], limit["cap"][k]) if events[k] in EVENTS else "invalid")
+                spent.append(state.spent)
+                outstanding.append(state.outstanding)
+                places.append(place)
+                place += 1
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(n) for n in ("run", "seq", "event", "id", "amount")), pa.array(status, pa.string()), pa.array(spent, pa.float64()), pa.array(outstanding, pa.float64()), pa.array(places, pa.int64())],
+                ["run", "seq", "event", "id", "amount", "status", "spent", "outstanding", "place"],
+            )
+
+    return run
 
 
 def fold_events(events: DataFrame, most: Column | float | None, cap: Column | float | None = None, already: Column | float = 0.0) -> DataFrame:
@@ -73,14 +80,15 @@ def fold_events(events: DataFrame, most: Column | float | None, cap: Column | fl
     call cost). `most` is the run's budget, `cap` the lifetime cap and `already` what the ledger had spent before: numbers, or columns of events that are constant in a
     run. status: reserved, budget_exhausted, ledger_cap (these two reserve nothing), open (the id holds a reservation already),
     settled, released, not_open (never reserved, or settled or released before) or invalid (no such event). A null amount counts as 0,
-    null caps as none; null is a run of its own. An empty table gives an empty one.
+    null caps as none; null is a run of its own. place: the event's, from 0, in its run. An empty table gives an empty one.
     """
-    number = lambda c: c if isinstance(c, Column) else F.lit(c)
+    limits = dict(zip(LIMITS, (most, cap, already), strict=True))
+    fixed = {n: c if c is None else float(c) for n, c in limits.items() if not isinstance(c, Column)}  # these aren't sorted with each event
     rows = events.select(
         F.col("run").cast("string").alias("run"), F.col("seq").cast("long").alias("seq"), F.col("event").cast("string").alias("event"), F.col("id").cast("string").alias("id"), F.col("amount").cast("double").alias("amount"),
-        number(most).cast("double").alias("most"), number(cap).cast("double").alias("cap"), number(already).cast("double").alias("already"),
+        *(c.cast("double").alias(n) for n, c in limits.items() if n not in fixed),
     )
-    return rows.repartition("run").sortWithinPartitions("run", "seq", "id", "event").mapInArrow(_folded, RESULT)
+    return rows.repartition("run").sortWithinPartitions("run", "seq", "id", "event").mapInArrow(_folded(fixed), RESULT)
 
 
 def _admitted(kinds: dict[str, str]):
@@ -111,9 +119,12 @@ def admit(requests: DataFrame, cap: float) -> DataFrame:
 
 
 def run_totals(folded: DataFrame) -> DataFrame:
-    """run, n_reserved, n_refused, n_settled, n_released, spent and reserved_left of folded events."""
+    """run, n_reserved, n_refused, n_settled, n_released, spent and reserved_left of folded events.
+
+    The last event is that of the largest place, a number: so a task holds a row for each run, and sorts no events again.
+    """
     n = lambda *s: F.count_if(F.col("status").isin(*s))
-    last = lambda c: F.max_by(c, F.struct("seq", "id", "event"))
+    last = lambda c: F.max_by(c, "place")
     return folded.groupBy("run").agg(
         n("reserved").alias("n_reserved"), n("budget_exhausted", "ledger_cap").alias("n_refused"), n("settled").alias("n_settled"), n("released").alias("n_released"), last("spent").alias("spent"), last("outstanding").alias("reserved_left")
     )
