@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -108,6 +109,27 @@ def test_alignment_of_documents(spark, plain):
     assert sorted(map(tuple, got)) == sorted(aligned(plain, [tuple(r) for r in docs.collect()]))
 
 
+def test_a_task_holds_one_block_at_a_time(spark, plain, monkeypatch):
+    """However many blocks a file has, each is a row group of its own: readers decode whole row groups."""
+    groups, write = [], token_alignment.written
+
+    def watched(df, name, *args, **more):
+        out = write(df, name, *args, **more)
+        if name == "token-blocks":
+            for f in out.inputFiles():
+                meta = pq.ParquetFile(f.removeprefix("file://")).metadata
+                groups.extend(meta.row_group(k).num_rows for k in range(meta.num_row_groups))
+        return out
+
+    monkeypatch.setattr(token_alignment, "written", watched)
+    monkeypatch.setattr(token_alignment, "CHUNK", 200)
+    monkeypatch.setattr(token_alignment, "_AT_ONCE", 5, raising=False)
+    rows = [(k, f"words of text {k % 7} that others have") for k in range(40)]
+    got = token_alignment.align_tokens(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), tokenizer_folder()).select(COLUMNS).collect()
+    assert sorted(map(tuple, got)) == sorted(aligned(plain, rows))
+    assert len(groups) > 5 and set(groups) == {1}
+
+
 @pytest.fixture(scope="module")
 def pair():
     return token_alignment.PairTokenizer(tokenizer_folder())

@@ -8,7 +8,7 @@ chunk is a chunk of its own and is hashed in bounded blocks.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -125,14 +125,19 @@ def texts_of(column: pa.Array) -> list[bytes]:
 
 def chunks(texts: list[bytes], most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of documents with about `most` bytes each."""
+    return chunks_of_sizes([len(t) for t in texts], most)
+
+
+def chunks_of_sizes(sizes: Sequence[int], most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of documents of these sizes with about `most` bytes each."""
     start = size = 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > most:
+    for i, n in enumerate(sizes):
+        if size and size + n > most:
             yield start, i
             start, size = i, 0
-        size += len(t) + 1
-    if start < len(texts):
-        yield start, len(texts)
+        size += n + 1
+    if start < len(sizes):
+        yield start, len(sizes)
 
 
 def signed(x: np.ndarray) -> np.ndarray:

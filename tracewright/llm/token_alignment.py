@@ -9,7 +9,7 @@ A link's count is the number of documents that hold its pair of ids. Each chunk'
 distinct pairs with the numbers of its documents that hold them, and the documents' own pairs as places in that list. Spark sums the
 numbers by pair and takes the highest of each id; counts go back to the blocks by pair and then by block, so a pair that
 stands in every document is one row for each block, and what is shuffled are the pairs of blocks, not those of documents. The texts are read once.
-A block holds the documents of one chunk of about CHUNK bytes of text, or one longer text.
+A block holds the documents of one chunk of about CHUNK bytes of text, or one longer text. Tasks hold one block at a time, however many a file has.
 """
 
 from __future__ import annotations
@@ -20,18 +20,21 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.llm.packing import UnitTokenizer
 from tracewright.llm.storage import scratch, written
-from tracewright.llm.textkernels import WHITE, chunks, hash_ranges, texts_of
+from tracewright.llm.textkernels import WHITE, chunks_of_sizes, hash_ranges, texts_of
 
 #: Bytes of text in a block, about.
 CHUNK = 1 << 22
 #: Units that B encodes in one string: its time grows a little faster than a string's length.
 _TOGETHER = 128
+#: Distinct units that are encoded and aligned at once: their tokens take the most memory of a chunk.
+_AT_ONCE = 1 << 15
 #: Ids of B are below this.
 _SIDE = 1 << 20
 #: Lead bytes of white space beyond ASCII, and ASCII separators that some patterns take for white space: no cut beside them.
@@ -124,8 +127,8 @@ def _side_by_side(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, cuts: b
     """Which units are cut off like others at both ends, and hold no character that B takes for a blank."""
     joins = ~_DOUBTFUL[buf[starts + 1]] & (ends - starts > 3) & cuts
     joins[joins] = _solid_before(buf, ends[joins])
-    odd = np.append(0, np.cumsum((buf[:-2] == 0xE2) & (buf[1:-1] == 0x96) & (buf[2:] == 0x81)))
-    return joins & (odd[np.minimum(ends, len(odd) - 1)] == odd[np.minimum(starts, len(odd) - 1)])
+    odd = np.flatnonzero((buf[:-2] == 0xE2) & (buf[1:-1] == 0x96) & (buf[2:] == 0x81))
+    return joins & (np.searchsorted(odd, ends) == np.searchsorted(odd, starts))
 
 
 class _Aligned:
@@ -164,6 +167,16 @@ class _Aligned:
         self.n_pairs = by_unit(unit_of[g_a[left]]) if len(left) else np.zeros(len(units), np.int64)
 
 
+def _aligned_units(tokens: PairTokenizer, units: list[bytes], joins: np.ndarray) -> _Aligned:
+    """The units' tokens, groups and links, _AT_ONCE units after another."""
+    parts = [_Aligned(tokens, units[k : k + _AT_ONCE], joins[k : k + _AT_ONCE]) for k in range(0, max(1, len(units)), _AT_ONCE)]
+    whole = parts[0]
+    for name, first in vars(whole).items() if len(parts) > 1 else ():
+        own = [getattr(p, name) for p in parts]
+        setattr(whole, name, list(chain.from_iterable(own)) if isinstance(first, list) else np.concatenate(own))
+    return whole
+
+
 def _counted(group: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (group, id) in order of groups, and their numbers."""
     both, counts = np.unique(group * _SIDE + ids, return_counts=True)
@@ -174,6 +187,16 @@ def _ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
 
 
+def _digests(said: list[str], unit: np.ndarray, doc: np.ndarray, n: int) -> list[str]:
+    """Of what the units of each of n texts say."""
+    out, begin = [], 0
+    for end in np.searchsorted(doc, np.arange(n), "right").tolist():
+        text = "".join([said[u] for u in unit[begin:end].tolist()])
+        out.append(hashlib.sha256(text[:-1].encode()).hexdigest() if text else "")
+        begin = end
+    return out
+
+
 def _aligned_chunk(tokens: PairTokenizer, texts: list[bytes]) -> tuple:
     """For each text n_a, n_b, n_groups, n_links, digest, n_pairs; then its pairs: places in keys, and times; keys, and the number of texts that hold each."""
     buf, starts, ends, doc = _units(texts, tokens.cuts)
@@ -181,21 +204,16 @@ def _aligned_chunk(tokens: PairTokenizer, texts: list[bytes]) -> tuple:
     joins = _side_by_side(buf, starts[where], ends[where], tokens.cuts)
     order = np.argsort(~joins, kind="stable")
     unit, where, raw = np.argsort(order)[unit], where[order], buf.tobytes()
-    found = _Aligned(tokens, [raw[s:e] for s, e in zip(starts[where].tolist(), ends[where].tolist(), strict=True)], joins[order])
+    found = _aligned_units(tokens, [raw[s:e] for s, e in zip(starts[where].tolist(), ends[where].tolist(), strict=True)], joins[order])
     whole = np.bincount(doc[~found.same[unit]], minlength=len(texts)) == 0
     unit, doc = unit[whole[doc]], doc[whole[doc]]
     sums = [np.bincount(doc, x[unit], len(texts)).astype(np.int64) for x in (found.n_a, found.n_b, found.n_groups, found.n_links)]
-    stop = np.searchsorted(doc, np.arange(len(texts)), "right").tolist()
-    units, digests, begin = unit.tolist(), [], 0
-    for end in stop:
-        said = "".join([found.said[u] for u in units[begin:end]])
-        digests.append(hashlib.sha256(said[:-1].encode()).hexdigest() if said else "")
-        begin = end
+    digests = _digests(found.said, unit, doc, len(texts))
+    del buf, raw, where, found.said
     keys, place = np.unique(found.pair, return_inverse=True)
     n = found.n_pairs[unit]
     at = _ranges((np.cumsum(found.n_pairs) - found.n_pairs)[unit], n)
-    code = np.repeat(doc, n) * max(1, len(keys)) + place[at]
-    mine, inverse = np.unique(code, return_inverse=True)
+    mine, inverse = np.unique(np.repeat(doc, n) * max(1, len(keys)) + place[at], return_inverse=True)
     times = np.bincount(inverse, found.times[at], len(mine)).astype(np.int64)
     owner, place = mine // max(1, len(keys)), mine % max(1, len(keys))
     held = np.bincount(place, minlength=len(keys))
@@ -211,9 +229,9 @@ def _blocks(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, block = PairTokenizer(folder), TaskContext.get().partitionId() << 32
         for batch in batches:
-            texts = texts_of(batch.column(1))
-            for i, j in chunks(texts, CHUNK):
-                *sums, digests, n_pairs, place, times, keys, held = _aligned_chunk(tokens, texts[i:j])
+            sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
+            for i, j in chunks_of_sizes(sizes, CHUNK):
+                *sums, digests, n_pairs, place, times, keys, held = _aligned_chunk(tokens, texts_of(batch.column(1).slice(i, j - i)))
                 place = _compact(keys, held, place)
                 one = lambda x, t=pa.int64(): pa.array([x], pa.list_(t))
                 yield pa.RecordBatch.from_arrays(
@@ -277,7 +295,7 @@ def align_tokens(docs: DataFrame, folder: str) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     with scratch() as block:
         made = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_blocks(folder), _BLOCK.format(id=kind))
-        blocks = written(made, "token-blocks")
+        blocks = written(made, "token-blocks", together=1)
         counts = written(pair_counts(blocks), "pair-bests")
         asked = blocks.select("block", F.posexplode("keys").alias("pos", "pair"))
         answers = asked.join(counts, "pair").groupBy("block").agg(F.collect_list(F.struct("pos", "count", "best", "best_b")).alias("answers"))
